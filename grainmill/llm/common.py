@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,25 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+class Shared:
+    """A broadcast value whose classes workers need not have installed; get() unpacks it in a task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        return pickle.loads(self.packed.value)
+
+
+def beside(docs: DataFrame, keep: list[str], text_col: str, new: str) -> tuple[DataFrame, list[str], bool]:
+    """docs as a struct src of the columns in keep (but for `new`, which gives way to the column to be made), and the text
+    beside it unless src has it; then those columns, and whether src has it."""
+    cols = [c for c in keep if c != new]
+    inside = text_col in cols
+    src = docs.select(F.struct(*(F.col(c) for c in cols)).alias("src"), *([] if inside else [F.col(text_col).alias("text")]))
+    return src, cols, inside
+
+
 def ascii_lower(c) -> F.Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(c, UPPER, LOWER)

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod
+from .common import beside, crc_mod
 
 WORD = re.compile(r"\w+")
 
@@ -58,20 +60,19 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rat
     return w, float(b)
 
 
-def _score(weights: dict[str, float], bias: float):
+def _score(weights: dict[str, float], bias: float, field: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.keys()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                z = [bias + sum(weights[w] for w in sorted(words_of(t) & known)) for t in part.column(part.num_columns - 1).to_pylist()]
-                s = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*part.schema.names[:-1], "score"])
+            texts = pc.struct_field(batch.column(0), [field]) if field else batch.column(1)
+            z = [bias + sum(weights[w] for w in sorted(words_of(t.as_py() or "") & known)) for t in texts]
+            s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["src", "score"])
 
     return run
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 2_000, max_unlabelled: int = 8_000, max_words: int = 512, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], float]:
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 2_000, max_unlabelled: int = 6_000, max_words: int = 512, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], float]:
     """Word weights and bias, learnt from labelled rows whose crc32(id as text) mod folds is not 0.
 
     Positives: at most max_positive rows confirmed toxic. Unlabelled: at most max_unlabelled rows of the same table, their
@@ -108,8 +109,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 2_000
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in keep and score (0 to 1) for every whole text; at most max_words weights go to the workers.
 
-    Null and empty texts have the score of no words; repeated rows score alike; an empty table gives an empty result.
+    Null and empty texts have the score of no words; repeated rows score alike; an empty table gives an empty result; a
+    column named score gives way to the new one.
     """
-    src = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", score double"
-    return src.mapInArrow(_score(*model), schema)
+    src, cols, inside = beside(docs, keep, text_col, "score")
+    out = src.mapInArrow(_score(*model, text_col if inside else None), T.StructType([src.schema["src"], T.StructField("score", T.DoubleType())]))
+    return out.select(*(F.col("src")[c].alias(c) for c in cols), "score")
