@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _c, tokens
 
@@ -21,7 +22,7 @@ def lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """LCS of two token arrays. As a fold in the engine it took 100 times as long: each cell copies its row."""
     return pd.Series([lcs(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int32")

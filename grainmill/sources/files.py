@@ -48,7 +48,7 @@ def write_jsonl(df: DataFrame, path: str) -> int:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     """A JSON document, read through Spark's file systems."""
-    rows = spark.read.option("wholetext", True).text(path).take(1)
+    rows = spark.read.text(path, wholetext=True).take(1)
     if not rows:
         raise FileNotFoundError(path)
     return json.loads(rows[0][0])
