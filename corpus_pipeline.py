@@ -10,12 +10,17 @@ from grainmill.llm.common import staged
 from grainmill.llm.queries import table, tokenizer_path
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with numbered names for all columns but the text, so that none clashes with an operator's own; and those names."""
+    names = [c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go; the model learns from the labelled ones among those it is given."""
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
-    named = {c: f"in_{c}" for c in docs.columns if c != "text"}  # no name clashes with the score
-    scored = toxicity.score_toxicity(docs.withColumnsRenamed(named), model, [named.get(c, c) for c in docs.columns])
-    return scored.where("score < 0.5").select(*(F.col(named.get(c, c)).alias(c) for c in docs.columns))
+    plain, names = _numbered(docs)
+    return toxicity.score_toxicity(plain, model, names).where("score < 0.5").select(*names).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +46,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within the edits allowed go."""
-    named = {c: f"in_{c}" for c in docs.columns if c != "text"}  # no name clashes with the leaks
-    found = decontaminate.find_leaks(docs.withColumnsRenamed(named), table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*(F.col(named.get(c, c)).alias(c) for c in docs.columns))
+    plain, names = _numbered(docs)
+    found = decontaminate.find_leaks(plain, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(*names).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

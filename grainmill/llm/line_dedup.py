@@ -93,15 +93,16 @@ def dedup_new(batch: DataFrame, store: LineRuns, min_chars: int = 20, id_col: st
 
 def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with three columns more: line_count, lines_dropped and kept_text (the text without the lines at (doc, row, pos) in gone)."""
-    at = gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("at"))
+    at = gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone_"))
     src = docs.select(F.struct(*docs.columns).alias("src"))
     src = src.withColumn("id", F.col("src")[id_col]).withColumn("hash", F.xxhash64(F.col("src")[text_col]))
     made = src.join(at, (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("row")), "left")
     text = F.coalesce(F.col("src")[text_col], F.lit(""))
     lines = F.split(text, "\n")
-    kept = F.when(F.col("at").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("at", i)), "\n"))
-    new = {"line_count": F.size(lines).cast("long"), "lines_dropped": F.coalesce(F.size("at"), F.lit(0)).cast("long"), "kept_text": kept}
-    return made.select(*(F.col("src")[c].alias(c) for c in docs.columns if c not in new), *(c.alias(n) for n, c in new.items()))
+    kept = F.when(F.col("gone_").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_", i)), "\n"))
+    new = {"line_count": F.size(lines).cast("long"), "lines_dropped": F.coalesce(F.size("gone_"), F.lit(0)).cast("long"), "kept_text": kept}
+    made = made.select("src", *(c.alias(n) for n, c in new.items()))  # before the columns of docs come out, whose names may be any
+    return made.select(*(F.col("src")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

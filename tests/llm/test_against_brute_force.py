@@ -166,3 +166,22 @@ def test_op5_toxicity(spark, docs):
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_pipeline(spark, docs):
+    """Each stage of run() against its predecessor's output: clean documents stay, the decisions hold."""
+    import corpus_pipeline as p
+
+    toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    items = [lower(r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
+    now, texts = q.table(spark, SF, "documents"), {}
+    for name, stage in p.STAGES[:-1]:
+        before = now
+        now = p.staged(stage(spark, before, SF), name)
+        texts[name] = {r["doc_id"]: r["text"] for r in now.select("doc_id", "text").collect()}
+    whole = {d["doc_id"]: d["text"] for d in docs}
+    gone = set(whole) - set(texts["toxicity"])
+    assert sum(toxic.get(i) == 1 for i in gone) >= 0.7 * sum(v == 1 for v in toxic.values()) and not any(toxic.get(i) == 0 for i in gone)
+    assert set(texts["line_dedup"]) == set(texts["toxicity"])
+    leaked = {i for i, t in texts["near_dedup"].items() if any(x in lower(t) for x in items)}
+    assert leaked and not leaked & set(texts["decontamination"])
