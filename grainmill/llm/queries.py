@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, lm_score, minhash, packing, quality_rules, secrets, toxicity, url_filter
+from . import chat_format, decontaminate, line_dedup, lm_score, minhash, oracles, packing, quality_rules, secrets, toxicity, url_filter
 from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are installed.
@@ -83,4 +83,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
