@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
+from .quality_rules import RULES
 from .secrets import ACCESS, ASSIGN, CANDIDATE, HEX
 
 _LOWER = f"translate(%s, '{UPPER}', '{LOWER}')"
@@ -51,4 +52,26 @@ select doc_id, len(list_filter(spans, lambda y: y.k = 0)) n_assign, len(list_fil
  sha256({said.format(x="list_filter(spans, lambda y: y.k < 3)")}) base_sha256, {said.format(x="spans")} spans from z"""
 
 
-ORACLES = {"op3_minhash_near_dedup": NEAR, "op7_secret_scan": secrets(), "op10_line_dedup": LINES}
+def quality(strata: tuple[str, ...] = ("en", "de", "fr", "es"), alpha: float = 0.04, delta: float = 0.05, cost: float = 10.0) -> str:
+    word = r"[^\x20\x09-\x0D]"
+    grid = ", ".join(f"('{r}', {j}, {c!r}::double)" for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts))
+    metric = " union all ".join(f"select doc_id, stratum, failed, '{r}' rule, {k} nth, coalesce({a} / nullif({b}, 0), 0)::double x from f" for k, (r, (a, b, _)) in enumerate(RULES.items()))
+    tests = len(RULES) * (len(strata) + 1)
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha / len(RULES)!r}) + (n - i) * ln(1 - {alpha / len(RULES)!r}))))"
+    return f"""
+with d as (select doc_id, case when lang in {strata} then lang else '' end stratum, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{word}+') w from documents),
+ln as (select doc_id, count(*) n_lines, count(*) - count(distinct x) n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) x from d) where regexp_matches(x, '{word}') group by doc_id),
+g as (select doc_id, i, count(*) over (partition by doc_id, key) c from (select doc_id, unnest(range(1, len(w) - 1)) i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) key from d where len(w) > 2)),
+rp as (select doc_id, count(distinct pos) n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) pos from g where c > 1) group by doc_id),
+s as (select doc_id, stratum, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
+ coalesce(n_lines, 0) n_lines, coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words from d left join ln using (doc_id) left join rp using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words failed from s), m as ({metric}),
+lb as (select doc_id, max(quality) good from labels where quality is not null group by doc_id), gr(rule, j, cut) as (values {grid}),
+h as (select stratum, m.rule, j, cut, count(*) filter (good = 1 and x > cut) k, count(*) filter (good = 1) n, count(*) filter (good = 0 and x > cut) bad from m join lb using (doc_id) join gr on gr.rule = m.rule where not failed group by all),
+ok as (select *, bad - {cost} * k gain, bool_and(n > 0 and {tail} <= {delta / tests!r}) over (partition by stratum, rule order by j) fine from h),
+c as (select stratum, rule, cut from ok where fine and gain > 0 qualify row_number() over (partition by stratum, rule order by gain desc, j) = 1),
+z as (select doc_id, string_agg(m.rule, ',' order by nth) reasons from m join c on c.rule = m.rule and c.stratum = m.stratum where not failed and x > cut group by doc_id)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed base_failed, not failed and z.doc_id is null kept, coalesce(reasons, '') reasons from f left join z using (doc_id)"""
+
+
+ORACLES = {"op2_quality_rules": quality(), "op3_minhash_near_dedup": NEAR, "op7_secret_scan": secrets(), "op10_line_dedup": LINES}
