@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,27 +14,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, crc_mod
+from .common import beside, crc_mod, dropped, staged
 
 WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """The features of a whole text: its words, and stem*n for a stem (4 or 6 letters) with n = 2 or 3 or more different words."""
+    words = set(WORD.findall(text.lower()))
+    for k in (4, 6):
+        stems = Counter([w[:k] for w in words if len(w) > k])
+        words.update([f"{s}*2" for s, n in stems.items() if n > 1])
+        words.update([f"{s}*3" for s, n in stems.items() if n > 2])
+    return words
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [sorted(words_of(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.string()))], names=["toxic", "words"])
 
 
-def choose_words(pos: list[list[str]], unl: list[list[str]], most: int) -> list[str]:
-    """The words whose document rate in the positives most exceeds that in unlabelled text: by gain in log-likelihood, then by name."""
-    p, u = Counter(w for x in pos for w in x), Counter(w for x in unl for w in x)
-    n, m = max(1, len(pos)), max(1, len(unl))
-    gain = {w: c * np.log(((c + 0.5) / (n + 1)) / ((u[w] + 0.5) / (m + 1))) for w, c in p.items() if c > 1 and (c + 0.5) / (n + 1) > 2 * (u[w] + 0.5) / (m + 1)}
-    return sorted(gain, key=lambda w: (-gain[w], w))[:most]
+def choose_words(rows: DataFrame, most: int) -> list[str]:
+    """The `most` words that tell positives best from unlabelled text: by gain in log-likelihood, then by name. rows: toxic (1
+    for positives, 0 for unlabelled) and words."""
+    n, m = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    counts = rows.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("u"))
+    ratio = ((F.col("p") + 0.5) / (n + 1)) / ((F.col("u") + 0.5) / (m + 1))
+    words = counts.count()  # a gain that one of so many words has by chance is no evidence
+    top = counts.withColumn("gain", F.round(F.col("p") * F.log(ratio), 9)).where((F.col("p") > 1) & (F.col("gain") > math.log(words + 1))).orderBy(F.desc("gain"), "w").limit(most)
+    return [r["w"] for r in top.select("w").collect()]
+
+
+def _index(vocab: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i for i, w in enumerate(vocab)}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[at[w] for w in x if w in at] for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "at"])
+
+    return run
 
 
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
@@ -60,6 +79,22 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rat
     return w, float(b)
 
 
+def best_cut(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The score to cut at: the middle of the widest range of cuts that have the least non-negative risk under the 0-1 loss,
+    prior * P(positive < cut) + max(0, P(unlabelled >= cut) - prior * P(positive >= cut))."""
+    at = np.unique(np.concatenate([fp, fu]))
+    if len(at) < 2:
+        return float(at[0]) + 1e-6
+    cuts = (at[1:] + at[:-1]) / 2
+    p, u = np.sort(fp), np.sort(fu)
+    hit = 1 - np.searchsorted(p, cuts) / len(p)
+    risk = prior * (1 - hit) + np.maximum(0, 1 - np.searchsorted(u, cuts) / len(u) - prior * hit)
+    least = np.nonzero(risk <= risk.min() + 1e-12)[0]
+    runs = np.split(least, np.nonzero(np.diff(least) > 1)[0] + 1)
+    lo, hi = max(((at[r[0]], at[r[-1] + 1]) for r in runs), key=lambda r: (r[1] - r[0], -r[0]))
+    return float((lo + hi) / 2)
+
+
 def _score(weights: dict[str, float], bias: float, field: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.keys()
@@ -86,24 +121,28 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 2_000
     first = lambda df, k: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     picked = first(known.where("toxic = 1"), max_positive).withColumn("toxic", F.lit(1)).unionByName(first(known, max_unlabelled).withColumn("toxic", F.lit(0)))
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # The sample has at most max_positive + max_unlabelled ids, so its side is broadcast.
-    rows = text.join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(_features, "toxic int, words array<string>").collect()
-    pos, unl = ([sorted(r["words"]) for r in rows if r["toxic"] == k] for k in (1, 0))
-    pos.sort()
-    unl.sort()
-    if not pos or not unl:
+    # The sample has at most max_positive + max_unlabelled ids, so its side is broadcast; of its texts only the places of
+    # max_words words come to the driver.
+    rows = staged(text.join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(_split, "toxic int, words array<string>"), "sample")
+    vocab = choose_words(rows, max_words)
+    if not vocab:
         return {}, -2.0
-    vocab = choose_words(pos, unl, max_words)
-    at = {w: i for i, w in enumerate(vocab)}
+    found = sorted((r["toxic"], r["at"]) for r in rows.mapInArrow(_index(vocab), "toxic int, at array<int>").collect())
+    dropped(rows)
 
-    def dense(sets: list[list[str]]) -> np.ndarray:
+    def dense(sets: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(sets), len(vocab)), np.float32)
         for i, s in enumerate(sets):
-            x[i, [at[w] for w in s if w in at]] = 1
+            x[i, s] = 1
         return x
 
-    w, b = fit_nnpu(dense(pos), dense(unl), toxic / n)
-    return {x: float(w[at[x]]) for x in vocab}, b
+    pos, unl = ([x for k, x in found if k == t] for t in (1, 0))
+    if not pos or not unl:
+        return {}, -2.0
+    xp, xu = dense(pos), dense(unl)
+    w, b = fit_nnpu(xp, xu, toxic / n)
+    b -= best_cut(xp @ w + b, xu @ w + b, toxic / n)
+    return dict(zip(vocab, map(float, w))), min(b, -0.5)  # a text with none of the words has nothing against it
 
 
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str], text_col: str = "text") -> DataFrame:
