@@ -14,18 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Shared, beside
-from .minhash import _MULT, WordHashes, _mix
+from .words import MULT, WordHasher, mix
 
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
 #: Windows embedded at once in a worker.
 BATCH = 1_000
-#: Words searched at once in a worker.
-CHUNK = 1_000_000
-
-
-def words_of(text: str | None, seen: WordHashes) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+#: Bytes of texts searched at once in a worker.
+CHUNK = 6_000_000
 
 
 def allowed(n: int, percent: int) -> int:
@@ -44,11 +39,11 @@ def cgk(strings: np.ndarray, reps: int, steps: int) -> np.ndarray:
     flat = np.concatenate([strings, np.zeros((rows, 1), np.uint64)], axis=1).ravel()
     at = np.tile(np.arange(rows) * (n + 1), reps)
     end = at + n
-    salts = _mix(np.arange(1, reps * steps + 1, dtype=np.uint64) * _MULT).reshape(steps, reps)
+    salts = mix(np.arange(1, reps * steps + 1, dtype=np.uint64) * MULT).reshape(steps, reps)
     out = np.empty((steps, reps * rows), np.uint64)
     for j in range(steps):
         out[j] = x = flat[at]
-        mixed = (x ^ np.repeat(salts[j], rows)) * _MULT
+        mixed = (x ^ np.repeat(salts[j], rows)) * MULT
         at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), end)
     return out
 
@@ -62,7 +57,7 @@ def sample_keys(strings: np.ndarray, reps: int, bits: int) -> np.ndarray:
     places = np.array([rng.choice(steps, min(bits, steps), replace=False) for _ in range(reps)])
     key = np.repeat(np.arange(1, reps + 1, dtype=np.uint64)[:, None], rows, 1)
     for k in range(places.shape[1]):
-        key = _mix(key * _MULT + e[places[:, k], np.arange(reps)])
+        key = mix(key * MULT + e[places[:, k], np.arange(reps)])
     return key
 
 
@@ -118,10 +113,10 @@ class Finder:
     """The items' LSH tables, by length of the item in words."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int, bits: int, recall: float, most_reps: int):
-        seen = WordHashes()
+        hasher = WordHasher()
         by_n: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item, text in items:
-            if len(w := words_of(text, seen)):
+            if len(w := hasher.one(text)):
                 by_n[len(w)].append((item, w))
         often = Counter(x for own in by_n.values() for _, w in own for x in set(w.tolist()))
         self.classes, self.vocab, rare_sets = [], [], []
@@ -209,17 +204,18 @@ def _find(finder, field: str | None):
     """Columns src, leaks so far and (unless src has it as field) text; the items found are put after the leaks so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = finder.get(), WordHashes()
+        find, hasher = finder.get(), WordHasher()
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
         for batch in batches:
-            texts, hits, size, base = [], batch.column(1).to_pylist(), 0, 0
-            for i, t in enumerate(pc.struct_field(batch.column(0), [field]) if field else batch.column(2), 1):
-                texts.append(words_of(t.as_py(), seen))
-                size += len(texts[-1])
-                if size >= CHUNK or i == batch.num_rows:
-                    for t, item, start, end, d in find(np.concatenate(texts), np.cumsum([len(x) for x in texts])):
-                        hits[base + t].append({"item_id": item, "start": start, "end": end, "edits": d})
-                    texts, size, base = [], 0, i
+            texts = pc.struct_field(batch.column(0), [field]) if field else batch.column(2)
+            hits, sizes = batch.column(1).to_pylist(), np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            base = 0
+            while base < len(texts):
+                below = sizes[base - 1] if base else 0
+                upto = max(base + 1, int(np.searchsorted(sizes, below + CHUNK, "right")))
+                for t, item, start, end, d in find(*hasher(texts.slice(base, upto - base))):
+                    hits[base + t].append({"item_id": item, "start": start, "end": end, "edits": d})
+                base = upto
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, kind), *batch.columns[2:]], names=batch.schema.names)
 
     return run
