@@ -11,46 +11,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, staged
+from .common import components, staged
+from .words import MULT, WordHasher, mix
 
-#: Words whose hashes a worker remembers; emptied when full.
-CACHE = 400_000
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(text: str | None, width: int, seen: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased; with fewer words than width, one of them all."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, given the hashes of its words; with fewer words than
+    width, one of them all."""
+    n = len(words)
+    if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    out = h[: len(h) - width + 1].copy()
-    with np.errstate(over="ignore"):
-        for k in range(1, width):
-            out = _mix(out * _MULT + h[k : len(h) - width + 1 + k])
-        if width < 5:
-            out = _mix(out + np.uint64(width))
-    return np.unique(out)
+    width = min(width, n)
+    out = words[: n - width + 1].copy()
+    for k in range(1, width):
+        out = mix(out * MULT + words[k : n - width + 1 + k])
+    return np.unique(mix(out + np.uint64(width)))
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and addends of the k coordinates."""
-    s = _mix(np.arange(1, 2 * k + 1, dtype=np.uint64) * _MULT)
+    s = mix(np.arange(1, 2 * k + 1, dtype=np.uint64) * MULT)
     return s[:k] | np.uint64(1), s[k:]
 
 
@@ -65,13 +45,13 @@ def signature(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.nda
 
 def _sign(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, (mult, add) = WordHashes(), permutations(k)
+        hasher, (mult, add) = WordHasher(), permutations(k)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, k1, k2, sigs = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingle_hashes(text, width, seen)
+                for words in hasher.split(part.column(1)):
+                    s = shingle_hashes(words, width)
                     n.append(len(s))
                     key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16)
                     k1.append(int.from_bytes(key[:8], "little", signed=True))
@@ -126,9 +106,9 @@ def links_within(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, left:
 
 def _verify(width: int, k: int, least: int, percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        seen, (mult, add) = WordHashes(), permutations(k)
+        mult, add = permutations(k)
         ids = table.column("doc_id").to_pylist()
-        sets = [shingle_hashes(t, width, seen) for t in table.column("text").to_pylist()]
+        sets = [shingle_hashes(words, width) for words in WordHasher().split(table.column("text"))]
         sigs = np.array([signature(s, mult, add) for s in sets])
         block, i, j = np.array(table.column("block").to_pylist()), key[1].as_py(), key[2].as_py()
         found = links_within(ids, sets, sigs, block == i, block == j, least, percent)
@@ -174,7 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     clusters = staged(components(stars), "clusters")
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = placed.join(src.dropDuplicates(["doc_id"]) if _repeats(signed) else src, placed["node"] == src["doc_id"]).select("component", "blocks", "block", "doc_id", "text")
+    # A merge join at every size: which texts are asked for grows with the corpus and is never broadcast.
+    texts = placed.hint("merge").join(src.dropDuplicates(["doc_id"]) if _repeats(signed) else src, placed["node"] == src["doc_id"]).select("component", "blocks", "block", "doc_id", "text")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tasks = texts.select("component", "block", "doc_id", "text", F.explode(other).alias("t")).select("component", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "block", "doc_id", "text")
     links = staged(tasks.groupBy("component", "i", "j").applyInArrow(_verify(width, coordinates, least, percent), "a long, b long"), "links")
