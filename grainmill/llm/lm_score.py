@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shared, crc_mod, staged
-from .minhash import WordHashes
+from .words import WordHasher
 
 #: The end of a text as a token: no word hashes to it but by accident.
 END = np.uint64(0x656E64)
@@ -19,27 +19,29 @@ END = np.uint64(0x656E64)
 CHUNK = 2_000_000
 
 
-def token_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased, then END."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+def tokens_of(texts: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts on end, each text's words and then END, and where each text ends."""
+    h, ends = hasher(texts)
+    return np.insert(h, ends, END), ends + np.arange(1, len(ends) + 1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token hashes of many texts on end, with a mark at each last token."""
-    seen, held, size = WordHashes(), [], 0
+    """tokens_of many texts together."""
+    hasher, held, size = WordHasher(), [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        sums = np.cumsum([0] + [len(t) for t, _ in held[:-1]])
+        return np.concatenate([t for t, _ in held]), np.concatenate([e + s for (_, e), s in zip(held, sums)])
+
     for batch in batches:
-        for text in batch.column(0):
-            held.append(token_hashes(text.as_py(), seen))
-            size += len(held[-1])
+        for at in range(0, batch.num_rows, 512):
+            held.append(tokens_of(batch.column(0).slice(at, 512), hasher))
+            size += len(held[-1][0])
             if size >= CHUNK:
-                yield np.concatenate(held), np.cumsum([len(x) for x in held]) - 1
+                yield joined()
                 held, size = [], 0
     if held:
-        yield np.concatenate(held), np.cumsum([len(x) for x in held]) - 1
+        yield joined()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +64,7 @@ def _grams(tokens: np.ndarray, words: np.ndarray, kept: list[np.ndarray], ends:
     ids = _lookup(words, tokens)
     node = ids
     last = np.zeros(len(tokens), bool)
-    last[ends] = True
+    last[ends - 1] = True
     for keys in [*kept, None]:
         ok = np.zeros(len(tokens), bool)
         ok[1:] = (node[:-1] >= 0) & (node[1:] >= 0) & ~last[:-1]
@@ -166,24 +168,22 @@ def build(words: np.ndarray, word_p: np.ndarray, word_c: np.ndarray, grams: list
 
 
 def _needed(key: tuple, table: pa.Table) -> pa.Table:
-    seen = WordHashes()
-    parts = [token_hashes(t.as_py(), seen) for t in table.column("text")]
-    h = np.unique(np.concatenate(parts)).view(np.int64)
+    tokens, _ = tokens_of(table.column("text"), WordHasher())
+    h = np.unique(tokens).view(np.int64)
     return pa.table({"g": pa.array(np.full(len(h), key[0].as_py()), pa.int32()), "h": pa.array(h)})
 
 
 def _scored(model, n_all: int, n_distinct: int):
     def run(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
         auto: Automaton = model.get()
-        seen = WordHashes()
         h = counts.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         h, c = h[order], counts.column("c").to_numpy()[order]
         alone = np.log10((c + 0.1) / (n_all + 0.1 * (n_distinct + 1)))
         ids = _lookup(auto.words, h)
+        tokens, ends = tokens_of(table.column("text"), WordHasher())
         n, known, base, score = [], [], [], []
-        for text in table.column("text"):
-            at = np.searchsorted(h, token_hashes(text.as_py(), seen))
+        for at in np.split(np.searchsorted(h, tokens), ends[:-1]):
             p = alone[at]
             n.append(len(at))
             known.append(int((c[at] > 0).sum()))
