@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, crc_mod, staged
-from .words import WordHasher
+from .common import crc_mod, staged
+from .words import MULT, WordHasher, mix
 
 #: The end of a text as a token: no word hashes to it but by accident.
 END = np.uint64(0x656E64)
-#: Tokens counted together in a worker before they leave as (token, count).
-CHUNK = 2_000_000
+#: Bytes of text that stand for a token where groups are sized.
+TOKEN_BYTES = 6
+#: Taken off the count of every n-gram of two tokens or more; the mass goes to the shorter context.
+DISCOUNT = 0.5
 
 
 def tokens_of(texts: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -25,31 +24,6 @@ def tokens_of(texts: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarr
     return np.insert(h, ends, END), ends + np.arange(1, len(ends) + 1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """tokens_of many texts together."""
-    hasher, held, size = WordHasher(), [], 0
-
-    def joined() -> tuple[np.ndarray, np.ndarray]:
-        sums = np.cumsum([0] + [len(t) for t, _ in held[:-1]])
-        return np.concatenate([t for t, _ in held]), np.concatenate([e + s for (_, e), s in zip(held, sums)])
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            held.append(tokens_of(batch.column(0).slice(at, 512), hasher))
-            size += len(held[-1][0])
-            if size >= CHUNK:
-                yield joined()
-                held, size = [], 0
-    if held:
-        yield joined()
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for tokens, _ in _chunks(batches):
-        h, c = np.unique(tokens, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
-
-
 def _lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Index of each x in the sorted table, -1 where it is not there."""
     if not len(table):
@@ -59,181 +33,135 @@ def _lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
-def _grams(tokens: np.ndarray, words: np.ndarray, kept: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams (n = len(kept) + 2) of which both parts of n - 1 tokens are kept, none across texts."""
-    ids = _lookup(words, tokens)
-    node = ids
-    last = np.zeros(len(tokens), bool)
-    last[ends - 1] = True
-    for keys in [*kept, None]:
-        ok = np.zeros(len(tokens), bool)
-        ok[1:] = (node[:-1] >= 0) & (node[1:] >= 0) & ~last[:-1]
-        key = np.full(len(tokens), -1, np.int64)
-        at = np.nonzero(ok)[0]
-        key[at] = node[at - 1] * len(words) + ids[at]
-        if keys is None:
-            return key[at]
-        node = np.where(ok, _lookup(keys, key), -1)
-    raise AssertionError
-
-
-def _count_grams(words: np.ndarray, kept: list[np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, ends in _chunks(batches):
-            k, c = np.unique(_grams(tokens, words, kept, ends), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], names=["k", "c"])
+def _keys(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 1 to order, the key of the n-gram that ends at each token: odd for single tokens, even for longer ones, 0 where
+    the text has fewer than n tokens so far."""
+    begins = np.concatenate([[0], ends[:-1]])
+    at = np.arange(len(tokens)) - np.repeat(begins, ends - begins)
+    out = [tokens | np.uint64(1)]
+    for n in range(2, order + 1):
+        key = np.zeros(len(tokens), np.uint64)
+        key[1:] = mix(out[-1][:-1] * MULT + tokens[1:] + np.uint64(n)) & ~np.uint64(1)
+        key[at < n - 1] = 0
+        out.append(key)
+    return out
+
+
+def _gathered(order: int):
+    """The distinct n-grams of a group and how often each occurs in its texts to learn from."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tokens, ends = tokens_of(table.column("text"), WordHasher())
+        learnt = np.repeat(~table.column("held_out").to_numpy(), np.diff(ends, prepend=0))
+        keys = _keys(tokens, ends, order)
+        k, c = np.unique(np.concatenate([x[learnt & (x != 0)] for x in keys]), return_counts=True)
+        other = np.setdiff1d(np.concatenate([x[~learnt & (x != 0)] for x in keys]), k)
+        k, c = np.concatenate([k, other]), np.concatenate([c, np.zeros(len(other), np.int64)])
+        return pa.table({"g": pa.array(np.full(len(k), key[0].as_py()), pa.int32()), "k": pa.array(k.view(np.int64)), "c": pa.array(c.astype(np.int64))})
 
     return run
 
 
-@dataclass
-class Automaton:
-    """States are contexts, 0 the empty one. arcs: (state << 20 | word) to (log10 probability, next state); fail and back:
-    the state of the next shorter context and the log10 weight of falling there. words: sorted hashes of the arcs' words;
-    first: for each of them the state that it leads to from the empty context."""
-
-    words: np.ndarray
-    first: list[int]
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
-    fail: list[int] = field(default_factory=lambda: [0])
-    back: list[float] = field(default_factory=lambda: [0.0])
-
-    def score(self, ids: list[int], alone: list[float]) -> float:
-        """log10 probability of a text: one traversal from left to right. ids: index in words or -1; alone: the log10
-        probability of each token without context."""
-        arcs, fail, back, first = self.arcs, self.fail, self.back, self.first
-        state, total = 0, 0.0
-        for w, p in zip(ids, alone):
-            if w < 0:
-                while state:
-                    total += back[state]
-                    state = fail[state]
-                total += p
-                continue
-            while state:
-                if got := arcs.get(state << 20 | w):
-                    total += got[0]
-                    state = got[1]
-                    break
-                total += back[state]
-                state = fail[state]
-            else:
-                total += p
-                state = first[w]
-        return total
-
-
-def build(words: np.ndarray, word_p: np.ndarray, word_c: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], discount: float = 0.5) -> Automaton:
-    """The automaton of kept n-grams. grams: for n = 2 on, sorted keys (index of the first n - 1 tokens' gram * words + word) and counts.
-
-    p(w | h) = (count(h w) - discount) / count(h) for a kept n-gram; the mass that is left goes to the shorter context, in
-    proportion to its probabilities, so that each state's probabilities sum to one.
-    """
-    m, end = len(words), int(_lookup(words, np.array([END]))[0])
-    spelled = [[(i,) for i in range(m)]]
-    counts = [word_c]
-    for keys, c in grams:
-        spelled.append([(*spelled[-1][k // m], k % m) for k in keys.tolist()])
-        counts.append(c)
-    after: dict[tuple, dict[int, float]] = {}
-    total = {s: c for level, cs in zip(spelled, counts) for s, c in zip(level, cs.tolist())}
-    for level, cs in zip(spelled[1:], counts[1:]):
-        for s, c in zip(level, cs.tolist()):
-            if s[-2] != end:
-                after.setdefault(s[:-1], {})[s[-1]] = (c - discount) / total[s[:-1]]
-    number = {(): 0} | {h: i + 1 for i, h in enumerate(sorted(after, key=lambda h: (len(h), h)))}
-    back = {(): 1.0}
-
-    def longest(s: tuple) -> tuple:
-        while s not in number:
-            s = s[1:]
-        return s
-
-    def prob(h: tuple, w: int) -> float:
-        if not h:
-            return float(word_p[w])
-        return after[h][w] if w in after[h] else back[h] * prob(longest(h[1:]), w)
-
-    out = Automaton(words, [number.get((i,), 0) for i in range(m)])
-    for h in list(number)[1:]:
-        lower = longest(h[1:])
-        left, free = 1 - sum(after[h].values()), 1 - sum(prob(lower, w) for w in after[h])
-        back[h] = max(left, 1e-12) / max(free, 1e-12)
-        out.fail.append(number[lower])
-        out.back.append(float(np.log10(back[h])))
-    for h, nexts in after.items():
-        for w, p in nexts.items():
-            out.arcs[number[h] << 20 | w] = (float(np.log10(p)), number[longest((*h, w))])
-    return out
+def _sorted(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
+    """Column k as sorted unsigned numbers, and the others in its order."""
+    k = table.column("k").to_numpy().view(np.uint64)
+    by = np.argsort(k)
+    return (k[by], *(table.column(c).to_numpy()[by] for c in names))
+
 
+def _states(order: int):
+    """For each kept n-gram that the group owns a row (context, count, count of its last n - 1 tokens, count of the context,
+    count of the context's last n - 2 tokens or 0)."""
 
-def _needed(key: tuple, table: pa.Table) -> pa.Table:
-    tokens, _ = tokens_of(table.column("text"), WordHasher())
-    h = np.unique(tokens).view(np.int64)
-    return pa.table({"g": pa.array(np.full(len(h), key[0].as_py()), pa.int32()), "h": pa.array(h)})
+    def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        tokens, ends = tokens_of(table.column("text"), WordHasher())
+        keys = _keys(tokens, ends, order)
+        k, c, own = _sorted(found, "c", "own")
+        own = own.astype(bool)
+        parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+        for n in range(2, order + 1):
+            at = _lookup(k, keys[n - 1])
+            here = np.nonzero((at >= 0) & own[at] & (keys[n - 1] != 0))[0]
+            gram, pick = np.unique(at[here], return_index=True)
+            pos = here[pick]
+            context, shorter = keys[n - 2][pos - 1], keys[n - 2][pos]
+            low = c[_lookup(k, keys[n - 3][pos - 1])] if n > 2 else np.zeros(len(pos), np.int64)
+            for part, x in zip(parts, (context.view(np.int64), c[gram], c[_lookup(k, shorter)], c[_lookup(k, context)], low)):
+                part.append(x)
+        return pa.table({name: pa.array(np.concatenate(part), pa.int64()) for name, part in zip(("k", "c", "lower", "total", "low"), parts)})
+
+    return run
 
 
-def _scored(model, n_all: int, n_distinct: int):
-    def run(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
-        auto: Automaton = model.get()
-        h = counts.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], counts.column("c").to_numpy()[order]
-        alone = np.log10((c + 0.1) / (n_all + 0.1 * (n_distinct + 1)))
-        ids = _lookup(auto.words, h)
+def _scored(order: int, n_all: int, n_distinct: int):
+    def run(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+        k, c, b = _sorted(asked, "c", "back")
         tokens, ends = tokens_of(table.column("text"), WordHasher())
-        n, known, base, score = [], [], [], []
-        for at in np.split(np.searchsorted(h, tokens), ends[:-1]):
-            p = alone[at]
-            n.append(len(at))
-            known.append(int((c[at] > 0).sum()))
-            base.append(float(p.sum()))
-            score.append(auto.score(ids[at].tolist(), p.tolist()))
-        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        keys = _keys(tokens, ends, order)
+        at = _lookup(k, keys[0])
+        count = np.where(at >= 0, c[at], 0)
+        known = count > 0
+        alone = np.log10((count + 0.1) / (n_all + 0.1 * (n_distinct + 1)))
+        score = alone
+        for n in range(2, order + 1):
+            # By arcs of n tokens: along the arc where it is kept; else down the failure arc, if the context is a state.
+            context, back = np.ones(len(tokens)), np.zeros(len(tokens))
+            context[1:] = np.maximum(count[:-1], 1)
+            back[1:] = np.where(at[:-1] >= 0, b[at[:-1]], 0.0)
+            within = keys[n - 1] != 0
+            at = np.where(within, _lookup(k, keys[n - 1]), -1)
+            count = np.where(at >= 0, c[at], 0)
+            score = np.where(at >= 0, np.log10(np.maximum(count - DISCOUNT, DISCOUNT) / context), np.where(within, score + back, score))
+        begins = np.concatenate([[0], ends[:-1]])
+        total = lambda x: pa.array(np.add.reduceat(x, begins))
+        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(ends - begins, pa.int64()), "n_known": total(known.astype(np.int64)), "base_score": total(alone), "score": total(score)})
 
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 10, order: int = 3, keep: float = 1e-5, group_tokens: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10, order: int = 3, keep: float = 0.0, least: int = 2, group_tokens: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model).
 
     Learns from the texts whose crc32(id as text) mod folds is not 0. Words are A-Z lower-cased runs without ASCII white
-    space; each text ends with one token more. Every token is counted, as a 64-bit hash; base_score is the smoothed unigram
-    log10 probability. The model: n-grams up to `order` of relative frequency `keep` or more. There are at most 1 / keep of
-    them for each n, whatever the input, so the automaton that goes to the workers is bounded; an n-gram that frequent has
-    parts as frequent, so counting level by level, over kept parts only, misses none.
+    space; each text ends with one token more. Every token is counted, as a 63-bit hash; base_score is the smoothed unigram
+    log10 probability. The model: every n-gram up to `order` that occurs `least` times or more, at every size of the corpus,
+    so it grows with the corpus; `keep` can ask for a relative frequency besides and is 0 by default.
 
-    Word counts grow with the corpus and are not sent to the workers whole: texts go to groups of about group_tokens tokens
-    by hash, each group asks for the counts of its distinct words by a join, and is scored beside them. No task holds more
-    than a group and its words.
+    p(w | h) = (count(h w) - DISCOUNT) / count(h) for a kept n-gram; the mass that is left goes to the shorter context, in
+    proportion to its probabilities, so that each state's probabilities sum to one. States are the contexts of kept n-grams,
+    arcs the n-grams, and a failure arc with the weight of falling there leads to the next shorter context.
+
+    States and arcs are rows of tables and are never gathered. Texts go to groups of about group_tokens tokens by hash. Each
+    group emits its distinct n-grams once, with their counts; summed by n-gram, they go back to the groups that hold them.
+    The first of those owns an n-gram and adds it to its context, which gives the weights of failure arcs (sums of whole
+    numbers, so they don't depend on the order). No task holds more than a group and its n-grams.
 
     Null text is empty: one end token. Repeated rows count and score each; null ids are trained on as the empty id. An empty
     table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(id_col, folds) == 0).alias("held_out"), text.alias("text"))
-    train = src.where(~F.col("held_out")).select("text")
-    counts = staged(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    n_all, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    least = max(2, int(np.ceil(keep * n_all)))
-    top = counts.where(F.col("c") >= least).toPandas()  # at most 1 / keep rows
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    words, word_c = h[by], top["c"].to_numpy(np.int64)[by]
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(2, order + 1):
-        found = train.mapInArrow(_count_grams(words, [k for k, _ in grams]), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas()  # at most 1 / keep rows
-        k = found["k"].to_numpy(np.int64)
-        by = np.argsort(k)
-        grams.append((k[by], found["c"].to_numpy(np.int64)[by]))
-    word_p = (word_c + 0.1) / (n_all + 0.1 * (n_distinct + 1))
-    model = Shared(spark, build(words, word_p, word_c, grams))
-
-    groups = max(1, -(-n_all // group_tokens))
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-size // (TOKEN_BYTES * group_tokens)))
     grouped = src.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    need = grouped.groupBy("g").applyInArrow(_needed, "g int, h long")
-    asked = need.join(counts.hint("merge"), "h", "left").select("g", "h", F.coalesce("c", F.lit(0)).alias("c"))
-    out = grouped.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_scored(model, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+    grams = grouped.groupBy("g").applyInArrow(_gathered(order), "g int, k long, c long")
+    same = Window.partitionBy("k")
+    owner = F.min(F.when(F.col("c") > 0, F.col("g"))).over(same)
+    summed = grams.select("g", "k", F.sum("c").over(same).alias("c"), F.coalesce(owner == F.col("g"), F.lit(False)).alias("own"))
+    word = F.col("k").bitwiseAND(F.lit(1)) == 1
+    found = staged(summed.where((F.col("c") >= least) | (word & (F.col("c") > 0))), "grams")
+    n_all, n_distinct = found.where(F.col("own") & word).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    if (cut := int(np.ceil(keep * n_all))) > least:
+        found = found.where(word | (F.col("c") >= cut))
+
+    owned = grouped.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_states(order), "k long, c long, lower long, total long, low long")
+    sums = owned.groupBy("k").agg(F.count("*").alias("m"), F.sum("c").alias("c"), F.sum("lower").alias("lower"), F.max("total").alias("total"), F.max("low").alias("low"))
+    left = 1 - (F.col("c") - DISCOUNT * F.col("m")) / F.col("total")
+    free = 1 - F.when(word, (F.col("lower") + 0.1 * F.col("m")) / (n_all + 0.1 * (n_distinct + 1))).otherwise((F.col("lower") - DISCOUNT * F.col("m")) / F.when(F.col("low") > 0, F.col("low")))
+    back = F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(free, F.lit(1e-12)))
+    states = staged(sums.select("k", back.alias("back")), "states")
+
+    asked = found.select("g", "k", "c").join(states.hint("merge"), "k", "left").select("g", "k", "c", F.coalesce("back", F.lit(0.0)).alias("back"))
+    out = grouped.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_scored(order, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
