@@ -1,10 +1,12 @@
 """Cases that a cut in the work would get wrong."""
 
 import math
+import random
 import zlib
 
 import pytest
 
+import corpus_pipeline
 from grainmill.llm import lm_score
 
 
@@ -19,3 +21,20 @@ def test_lm_keeps_what_is_seen_twice_at_every_size(spark):
         alone = 3.1 / (got[10_001]["train_tokens"] + 0.1 * (55 + 1))  # "quartz" is seen three times; 55 distinct tokens
         assert len(got) == len(rare) + copies
         assert got[10_001]["score"] == pytest.approx(math.log10(alone * 1.5 / 3 * 1.5 / 2), rel=1e-9)
+
+
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark):
+    """The near_dedup stage against brute force, with pairs on both sides of 0.8 and between 0.8 and 0.85."""
+    r, texts = random.Random(4), []
+    for k in range(60):
+        a = [f"t{k}w{i}" for i in range(150)]
+        b = a[:]
+        for at in range(20, 20 + 30 * (1 + k % 4), 30):
+            b[at] = f"m{r.randrange(10**9)}"
+        texts += [" ".join(a), " ".join(b)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 120, 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) == sum(x < 0.8 for x in alike) == 15
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert got == {i for i in range(120) if i % 2 == 0 or alike[i // 2] < 0.8}
