@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -61,11 +60,13 @@ def sample_keys(strings: np.ndarray, reps: int, bits: int) -> np.ndarray:
     return key
 
 
-def repetitions(n: int, percent: int, bits: int, recall: float, trials: int = 200) -> int:
+def repetitions(n: int, percent: int, bits: int, recall: float, trials: int = 800, samples: int = 64) -> int:
     """How often to sample so that an item with the most edits allowed is met with the recall wished for.
 
-    Measured: random rows of n symbols take allowed(n) random edits, their keys are compared, and the share p that agrees
-    gives the least r with 1 - (1 - p)^r >= recall.
+    Measured: random rows of n symbols take allowed(n) random edits, and each pair's keys are compared `samples` times. Pairs
+    agree in different shares p of the times (early edits cost more), so the least r is taken for which the mean over the
+    pairs of 1 - (1 - p)^r reaches the recall; the mean p would promise too much. Then r grows until its own
+    tables meet the share of these pairs.
     """
     k = allowed(n, percent)
     if not k:
@@ -85,8 +86,17 @@ def repetitions(n: int, percent: int, bits: int, recall: float, trials: int = 20
                 row.insert(at, int(rng.integers(1, 2**62)))
             row = row or [1]
         b[t] = (row + rng.integers(1, 2**62, n).tolist())[:n]  # the window goes on into other text, or is cut
-    p = max(float(np.mean(sample_keys(a, 8, bits) == sample_keys(b, 8, bits))), 0.004)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
+    def agree(reps: int) -> np.ndarray:
+        parts = range(0, trials, 25)
+        return np.concatenate([(sample_keys(a[t : t + 25], reps, bits) == sample_keys(b[t : t + 25], reps, bits)).sum(0) for t in parts])
+
+    away = 1 - (agree(samples) + 0.5) / (samples + 1)
+    r, missed = 1, away.copy()
+    while missed.mean() > 1 - recall:
+        r, missed = r + 1, missed * away
+    while np.mean(agree(r) > 0) < recall:  # by the very tables that r gives
+        r += 1
+    return r
 
 
 def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:

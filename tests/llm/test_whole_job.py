@@ -4,10 +4,11 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from grainmill.llm import lm_score
+from grainmill.llm import decontaminate, lm_score
 
 
 def test_lm_keeps_what_is_seen_twice_at_every_size(spark):
@@ -38,3 +39,21 @@ def test_pipeline_drops_near_copies_from_four_fifths_on(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
     assert got == {i for i in range(120) if i % 2 == 0 or alike[i // 2] < 0.8}
+
+
+def test_leak_repetitions_reach_the_recall():
+    """Pairs at the most edits allowed share a key in one of r tables as often as promised, with pairs that r was not chosen on."""
+    for n in (10, 20, 50):
+        r, pairs = random.Random(n), []
+        for _ in range(3000):
+            row = [r.getrandbits(61) + 1 for _ in range(n)]
+            new = row[:]
+            for _ in range(decontaminate.allowed(n, 80)):
+                at, kind = r.randrange(len(new)), r.randrange(3)
+                new[at : at + (kind != 2)] = [] if kind == 1 else [r.getrandbits(61) + 1]
+            pairs.append((row, (new + [r.getrandbits(61) + 1 for _ in range(n)])[:n]))
+        a, b = (np.array(x, np.uint64) for x in zip(*pairs))
+        for bits in (1, 2):
+            reps = decontaminate.repetitions(n, 80, bits, 0.99)
+            met = np.concatenate([(decontaminate.sample_keys(a[t : t + 100], reps, bits) == decontaminate.sample_keys(b[t : t + 100], reps, bits)).any(0) for t in range(0, 3000, 100)]).mean()
+            assert met >= 0.985
