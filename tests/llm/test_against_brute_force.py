@@ -168,6 +168,21 @@ def test_op5_toxicity(spark, docs):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
 
 
+def test_op5_recall_and_false_alarms_by_language(spark):
+    """Held-out rows of the larger table, where each language has positives to learn from."""
+    large = SF.replace("sf0.01", "sf0.1")
+    toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{large}/labels.parquet").to_pylist()}
+    lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{large}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
+    by = defaultdict(list)
+    for r in rows(q.op5_toxicity(spark, large)):
+        if r["held_out"] and r["doc_id"] in toxic:
+            by[lang[r["doc_id"]], toxic[r["doc_id"]]].append(r["predicted"])
+            by["", toxic[r["doc_id"]]].append(r["predicted"])
+    share = {k: sum(v) / len(v) for k, v in by.items()}
+    assert share["", 1] >= 0.87 and share["", 0] <= 0.02
+    assert all(share[x, 1] >= 0.8 and share[x, 0] <= 0.04 for x in ("en", "de", "fr", "es"))
+
+
 def test_pipeline(spark, docs):
     """Each stage of run() against its predecessor's output: clean documents stay, the decisions hold."""
     import corpus_pipeline as p

@@ -141,7 +141,41 @@ def test_toxicity(docs, labels):
     model = toxicity.train_toxicity(docs, labels)
     rows = both(docs, lambda d: toxicity.score_toxicity(d, model, d.columns))
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
-    assert toxicity.train_toxicity(docs.limit(0), labels) == ({}, -2.0)
+    by = {}
+    for r in rows:
+        assert by.setdefault(r["doc_id"], r["score"]) == r["score"]  # repeated rows score alike
+    assert by[4] == by[5] == by[6] < 0.5  # null, empty and blank texts have nothing against them
+    none = toxicity.train_toxicity(docs.limit(0), labels)
+    assert none.known.size == 0 and {r["score"] for r in toxicity.score_toxicity(docs, none, ["doc_id"]).collect()} == {by[4]}
+
+
+def test_fragments_do_not_depend_on_blocks(monkeypatch):
+    """Texts longer than a block, nulls, blanks and letters of several bytes have the fragments of a plain enumeration."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [LONG[:9000], None, "", " \n", "é" * 500 + " Straße idiot 1d10t ID!OT", "x" * 700, "a b", LONG[:9000]]
+
+    def found(block):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        out = Counter()
+        for kind, h, place, ends in toxicity.Fragments()(pa.array(texts), within=True):
+            out.update(zip([kind] * len(h), h.tolist(), np.searchsorted(ends, place, "right").tolist()))
+        return out
+
+    def plain(text):
+        table = toxicity.Fragments().table
+        words = bytes(table[np.frombuffer((text or "").lower().encode(), np.uint8)]).split()
+        whole = [b" " + w + b" " for w in words]
+        grams = [len({w[i : i + n] for w in whole for i in range(len(w) - n + 1)}) for n in toxicity.LENGTHS]
+        return grams + [len(set(words)), len(set(zip(words, words[1:])))]
+
+    whole = found(1 << 20)
+    assert found(64) == found(512) == whole
+    for t, text in enumerate(texts):
+        assert [sum(k == kind and d == t for k, _, d in whole) for kind in range(toxicity.KINDS)] == plain(text)
 
 
 def test_nnpu_separates_without_negatives():
@@ -152,11 +186,43 @@ def test_nnpu_separates_without_negatives():
     xp[:, 0] = 1
     xu = (r.random((1000, 5)) < [0.02, 0.02, 0.1, 0.1, 0.1]).astype(np.float32)
     xu[:100] = xp
-    w, b = toxicity.fit_nnpu(xp, xu, 0.1)
+    at = lambda x: [np.nonzero(r)[0] for r in x]
+    w, b = toxicity.fit_nnpu(at(xp), at(xu), 5, 0.1)
     hit = 1 / (1 + np.exp(-(xu @ w + b))) >= 0.5
     assert hit[:100].mean() > 0.95 and hit[100:].mean() < 0.1
 
 
+@pytest.mark.parametrize("kind", ["ending", "disguise", "pair"])
+def test_toxicity_finds_what_no_single_word_shows(spark, kind):
+    """Held-out recall and false alarms where bad words are never twice the same: stems with any ending, spellings with signs,
+    pairs of harmless words."""
+    import random
+    import zlib
+
+    r = random.Random(kind)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
+    common = [word() for _ in range(400)]
+
+    def bad():
+        if kind == "ending":
+            return r.choice(["vexor", "grumil", "tharn", "ploskit"]) + word()
+        if kind == "pair":
+            return r.choice([common[7] + " " + common[300], common[19] + " " + common[41]])
+        return "".join({"i": "1", "o": "0", "e": "3"}.get(c, c) if r.random() < 0.6 else c for c in r.choice(["moronic", "pisgod"]))
+
+    rows = []
+    for i in range(2400):
+        words = [r.choice(common) if r.random() < 0.8 else word() for _ in range(r.randint(30, 400))]
+        for _ in range(3 if i % 8 == 0 else 0):
+            words.insert(r.randrange(len(words)), bad())
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train_toxicity(df, df)
+    got = [x for x in toxicity.score_toxicity(df, model, ["doc_id", "toxic"]).collect() if zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0]
+    share = lambda toxic: sum(x["score"] >= 0.5 for x in got if x["toxic"] == toxic) / sum(x["toxic"] == toxic for x in got)
+    assert share(1) >= 0.9 and share(0) <= 0.02
+
+
 def test_leaks(spark, docs):
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (4, "tiny"), (None, "x")], "item_id long, text string")
     rows = both(docs, lambda d: decontaminate.find_leaks(d, bench))
