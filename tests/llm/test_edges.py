@@ -279,7 +279,8 @@ def test_lm(docs):
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (4, 5, 6)} == {1}
 
 
-def test_lm_against_definition(spark):
+@pytest.mark.parametrize("least", [1, 2, 20])
+def test_lm_against_definition(spark, least):
     import math
     import random
     import zlib
@@ -289,13 +290,12 @@ def test_lm_against_definition(spark):
 
     r = random.Random(2)
     texts = [(i, " ".join(r.choice(["a b", "b c d", "The", "x" + str(r.randrange(50))]) for _ in range(r.randint(0, 30)))) for i in range(300)]
-    got = {x["doc_id"]: x for x in lm_score.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), keep=0.01, group_tokens=300).collect()}
+    got = {x["doc_id"]: x for x in lm_score.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), least=least, group_tokens=300).collect()}
     toks = {i: [*t.lower().split(), None] for i, t in texts}
     train = [toks[i] for i, _ in texts if zlib.crc32(str(i).encode()) % 10]
     c1 = Counter(w for t in train for w in t)
     n, v = sum(c1.values()), len(c1)
     p1 = lambda w: (c1[w] + 0.1) / (n + 0.1 * (v + 1))
-    least = math.ceil(0.01 * n)
     c2 = {k: c for k, c in Counter(x for t in train for x in zip(t, t[1:])).items() if c >= least}
     c3 = {k: c for k, c in Counter(x for t in train for x in zip(t, t[1:], t[2:])).items() if c >= least}
     count = {(w,): c for w, c in c1.items()} | c2 | c3
