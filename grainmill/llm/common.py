@@ -27,16 +27,53 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark deletes the shuffle files of a query at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there and lost executors cost nothing before it."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there and lost executors cost nothing
+    before it. The shuffle files behind it, which nothing reads again, are deleted."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/grainmill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+class Buckets:
+    """A Parquet table in the shared folder whose rows are dealt to buckets by a column: groupings by it need no other shuffle.
+
+    Each add() appends; read() has all rows so far. The engine's catalog knows the table until close(); what was read before
+    stays readable, and so do the files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int, col: str):
+        self.spark, self.n, self.col = spark, buckets, col
+        self.path, self.table = f"{scratch_dir(spark)}/grainmill-{name}-{uuid.uuid4().hex}", f"grainmill_{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> Buckets:
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.repartition(self.n, self.col).write.format("parquet").mode("append").option("compression", "zstd").option("path", self.path).bucketBy(self.n, self.col).sortBy(self.col).saveAsTable(self.table)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:

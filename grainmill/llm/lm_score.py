@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, dropped, staged
+from .common import Buckets, crc_mod
 from .words import MULT, WordHasher, mix
 
 #: The end of a text as a token: no word hashes to it but by accident.
@@ -22,6 +21,8 @@ TOKEN_BYTES = 6
 DISCOUNT = 0.5
 #: Keys that a task sums at once.
 PART_KEYS = 3_000_000
+#: The engine's limit on the buckets of a table.
+MOST_BUCKETS = 100_000
 
 TOKENS = "g long, ids array<long>, held array<boolean>, ends array<int>, vocab binary, tokens binary"
 BLOBS = "part int, g long, keys binary, a binary, b binary, c binary"
@@ -365,7 +366,7 @@ def _scored(order: int, least: int, n_all: int, n_distinct: int):
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 10, order: int = 3, least: int = 2, group_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10, order: int = 3, least: int = 2, group_tokens: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model).
 
     Learns from the texts whose crc32(id as text) mod folds is not 0. Words are A-Z lower-cased runs without ASCII white
@@ -391,30 +392,24 @@ def score_texts(docs: DataFrame, folds: int = 10, order: int = 3, least: int = 2
         raise ValueError("order must be at least 2")
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(id_col, folds) == 0).alias("held_out"), text.alias("text"))
+    spark = docs.sparkSession
     size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * size // (TOKEN_BYTES * PART_KEYS)))
-    tokens = staged(src.mapInArrow(_grouped(group_tokens), TOKENS), "tokens")
-
-    rounds = [_released(tokens.mapInArrow(_first(parts), BLOBS).groupBy("part").applyInArrow(_summed(2, least), FOUND), "ngrams2")]
-    n_all, n_distinct = rounds[0].agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
+    buckets = max(1, min(MOST_BUCKETS, -(-size // (TOKEN_BYTES * group_tokens))))
+    tokens = Buckets(spark, "tokens", buckets, "g").add(src.mapInArrow(_grouped(group_tokens), TOKENS))
+    found = Buckets(spark, "ngrams", buckets, "g")
+    summed = lambda df, how: found.add(df.groupBy("part").applyInArrow(how, FOUND))
 
     def beside(own, schema: str) -> DataFrame:
-        found = rounds[0]
-        for r in rounds[1:]:
-            found = found.unionByName(r)
-        return tokens.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(own, schema)
+        return tokens.read().groupBy("g").cogroup(found.read().groupBy("g")).applyInArrow(own, schema)
 
+    summed(tokens.read().mapInArrow(_first(parts), BLOBS), _summed(2, least))
+    n_all, n_distinct = found.read().agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     for n in range(3, order + 1):
-        rounds.append(_released(beside(_longer(n, order, least, parts), BLOBS).groupBy("part").applyInArrow(_summed(n, least), FOUND), f"ngrams{n}"))
-    rounds.append(_released(beside(_states(order, least, parts), BLOBS).groupBy("part").applyInArrow(_state_sums, FOUND), "states"))
+        summed(beside(_longer(n, order, least, parts), BLOBS), _summed(n, least))
+    summed(beside(_states(order, least, parts), BLOBS), _state_sums)
     out = beside(_scored(order, least, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    tokens.close()
+    found.close()
     return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
-
-def _released(df: DataFrame, name: str) -> DataFrame:
-    """df as a staged table; the shuffles behind it are nobody's any more, and a collection on the driver lets executors delete them."""
-    out = staged(df, name)
-    del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
-    return out
