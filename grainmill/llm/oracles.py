@@ -74,4 +74,26 @@ z as (select doc_id, string_agg(m.rule, ',' order by nth) reasons from m join c
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed base_failed, not failed and z.doc_id is null kept, coalesce(reasons, '') reasons from f left join z using (doc_id)"""
 
 
-ORACLES = {"op2_quality_rules": quality(), "op3_minhash_near_dedup": NEAR, "op7_secret_scan": secrets(), "op10_line_dedup": LINES}
+URLS = rf"""
+with recursive u as (select page_id, case when coalesce(url, '') like '%://%' then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+p as (select page_id, {_LOWER % "regexp_extract(rest, '^([^/?#]*)', 1, 's')"} host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') path from u),
+q as (select *, case when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'
+ when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+ when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/' when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/'
+ when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end rule from p),
+s as (select *, case when rule in ('com/', 'www.example.com/en/') then 0 when rule is not null then 1 end bad,
+ case when path = '' then [] else list_transform(string_split(substr(path, 2), '/'), lambda x: case when regexp_matches(x, '[0-9]') or length(x) >= 40 or x = '~' then '*' else x end) end seg from q),
+leaves as (select host, seg, count(*) n, count(bad) l, coalesce(sum(bad), 0)::bigint b from s group by host, seg),
+tree as (select 0 d, host, seg, n, l, b, '' prefix from leaves union all
+ select d + 1, host, seg, n, l, b, prefix || '/' || case when apart or lone then name else '~' end from
+ (select *, min(name) filter (not apart) over w = max(name) filter (not apart) over w lone from
+  (select *, coalesce(bl >= 5 and al - bl >= 5 and ab > 0 and ab < al and abs(bb / bl - (ab - bb) / (al - bl)) / sqrt(ab / al * (1 - ab / al) * (1 / bl + 1 / (al - bl))) >= 1.96, false) apart from
+   (select *, sum(l) over v bl, sum(b) over v bb, sum(l) over w al, sum(b) over w ab from
+    (select *, case when here = '*' or sum(n) over (partition by host, prefix, here) < 0.02::double * sum(n) over (partition by host, prefix) then '*' else here end name from
+     (select *, seg[d + 1] here from tree where len(seg) > d)) window v as (partition by host, prefix, name), w as (partition by host, prefix))) window w as (partition by host, prefix))),
+whole as (select * from tree where len(seg) = d), r as (select coalesce(sum(b) / nullif(sum(l), 0), 0)::double rate from leaves),
+nodes as (select host, prefix, sum(l)::bigint labelled, case when sum(l) > 0 then (sum(b) + 4.0::double * any_value(rate)) / (sum(l) + 4.0::double) else any_value(rate) end purity from whole, r group by host, prefix)
+select page_id, s.host, path, rule, coalesce(case bad when 1 then 'block' when 0 then 'allow' end, case when labelled > 0 and purity >= 0.9::double then 'block' else 'allow' end) verdict, t.prefix template, labelled, round(purity, 6) purity
+from s join whole t on t.host = s.host and t.seg = s.seg join nodes x on x.host = t.host and x.prefix = t.prefix"""
+
+ORACLES = {"op4_url_filter": URLS, "op2_quality_rules": quality(), "op3_minhash_near_dedup": NEAR, "op7_secret_scan": secrets(), "op10_line_dedup": LINES}
