@@ -23,6 +23,8 @@ LEVELS, DENSE = 3, 150
 LIFT = 3
 #: Bytes of text hashed at once; its arrays take about 60 MB.
 BLOCK = 1 << 20
+#: Rows read at once.
+SLICE = 512
 #: Tasks that share the fragments of the positive sample by hash.
 PARTS = 8
 BITS = 22
@@ -52,8 +54,8 @@ class Fragments:
             base = 0xD6E8FEB86659FD93
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
 
-    def __call__(self, texts: pa.Array, within: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(kind, hashes, places, ends of the texts) for each kind and block of the texts, repeats included. A place lies in the
+    def __call__(self, texts: pa.Array, within: bool = False, kinds: tuple[int, ...] = tuple(range(KINDS))) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, hashes, places, ends of the texts) for each of the kinds and each block of the texts, repeats included. A place lies in the
         text whose end is the first above it. Hashes of fragments across gaps are left out if `within`; who looks up known
         ones need not: no known fragment has these."""
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -69,7 +71,7 @@ class Fragments:
             self._powers(len(d))
             run, gap = np.concatenate([[np.uint64(0)], np.cumsum(self.value[d] * self.up[: len(d)])]), d == 32
             for kind, n in enumerate(LENGTHS):
-                if len(d) < n:
+                if kind not in kinds or len(d) < n:
                     continue
                 h, place = (run[n:] - run[:-n]) * self.down[: len(d) - n + 1], np.arange(at, at + len(d) - n + 1)
                 if within:
@@ -77,17 +79,22 @@ class Fragments:
                     ok = gaps[n - 2 : len(d) - 1] == gaps[: len(d) - n + 1]
                     h, place = h[ok], place[ok]
                 yield kind, h, place, ends
+            at, begin = end, at
+            if KINDS - 1 not in kinds and KINDS - 2 not in kinds:
+                continue
             first, behind = np.nonzero(~gap[1:] & gap[:-1])[0] + 1, np.nonzero(~gap[:-1] & gap[1:])[0] + 1
             words = mix((run[behind] - run[first]) * self.down[first] + (behind - first).astype(np.uint64) * MULT)
-            place = first + (at - 1)
-            yield KINDS - 2, words, place, ends
+            place = first + (begin - 1)
+            if KINDS - 2 in kinds:
+                yield KINDS - 2, words, place, ends
+            if KINDS - 1 not in kinds:
+                continue
             if last is not None:  # a pair may cross the blocks
                 words, place = np.concatenate([last[:1], words]), np.concatenate([last[1:].view(np.int64), place])
             text = np.searchsorted(ends, place, "right")
             yield KINDS - 1, mix(words[:-1] * MULT + words[1:])[text[:-1] == text[1:]], place[1:][text[:-1] == text[1:]], ends
             if len(words):
                 last = np.array([words[-1], place[-1:].view(np.uint64)[0]], np.uint64)
-            at = end
 
     @staticmethod
     def _gap(data: np.ndarray, at: int) -> int:
@@ -100,11 +107,27 @@ class Fragments:
             step += BLOCK
         return len(data)
 
-    def inside(self, texts: pa.Array, part: int, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, hashes, texts) of all fragments whose hash falls to `part`, repeats included."""
-        for kind, h, place, ends in self(texts, within=True):
+    def inside(self, texts: pa.Array, kind: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, texts) of all fragments of a kind whose hash falls to `part`, repeats included."""
+        hashes, found = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for _, h, place, ends in self(texts, True, (kind,)):
             own = (h >> np.uint64(40)) % np.uint64(parts) == part
-            yield kind, h[own], np.searchsorted(ends, place[own], "right")
+            hashes.append(h[own])
+            found.append(np.searchsorted(ends, place[own], "right"))
+        return np.concatenate(hashes), np.concatenate(found)
+
+    def words_in(self, texts: pa.Array) -> np.ndarray:
+        """How many words each text has."""
+        out = np.zeros(len(texts), np.int64)
+        for _, _, place, ends in self(texts, kinds=(KINDS - 2,)):
+            out += np.bincount(np.searchsorted(ends, place, "right"), minlength=len(texts))
+        return out
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def _counted(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,21 +181,13 @@ def _document_counts(parts: int):
     """For each fragment of a part of all hashes, in how many of the texts it is at each level; those in fewer than two are left out."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        texts, part = table.column("text"), int(key[0].as_py())
-        fragments, kinds, docs, hashes, words = Fragments(), [], [], [], np.zeros(len(texts), np.int64)
-        for kind, h, place, ends in fragments(texts):
-            if kind == KINDS - 2:
-                words += np.bincount(np.searchsorted(ends, place, "right"), minlength=len(texts))
-        for kind, h, text in fragments.inside(texts, part, parts):
-            kinds.append(np.full(len(h), kind, np.int8))
-            docs.append(text.astype(np.int32))
-            hashes.append(h)
-        kind, doc, h = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (kinds, docs, hashes))
+        texts, part, fragments = table.column("text"), int(key[0].as_py()), Fragments()
+        words = fragments.words_in(texts)
         out: dict[str, list[np.ndarray]] = {c: [np.empty(0, np.int64)] for c in ("kind", "h", "p0", "p1", "p2")}
         for k in range(KINDS):
-            own = kind == k
-            code, at = np.unique(h[own], return_inverse=True)
-            text, which, n = _counted(doc[own], at)
+            h, text = fragments.inside(texts, k, part, parts)
+            code, at = np.unique(h, return_inverse=True)
+            text, which, n = _counted(text, at)
             _, feature = levels_of(text, which, n, words)
             counts = np.bincount(feature, minlength=len(code) * LEVELS).reshape(-1, LEVELS)
             more = counts[:, 0] > 1
@@ -189,8 +204,8 @@ def _unlabelled_counts(known: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know, fragments = known.get(), Fragments()
         total = np.zeros(know.size * LEVELS, np.int32)
-        for batch in batches:
-            total += np.bincount(know(fragments, batch.column(0))[1], minlength=len(total)).astype(np.int32)
+        for part in _sliced(batches):
+            total += np.bincount(know(fragments, part.column(0))[1], minlength=len(total)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["u"])
 
     return run
@@ -201,11 +216,11 @@ def _rows(known: Shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know, fragments = known.get(), Fragments()
-        for batch in batches:
-            text, feature = know(fragments, batch.column(2))
+        for part in _sliced(batches):
+            text, feature = know(fragments, part.column(2))
             by = np.lexsort((feature, text))
-            at = np.searchsorted(text[by], np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature[by], pa.int32()))], names=["toxic", "doc_id", "at"])
+            at = np.searchsorted(text[by], np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature[by], pa.int32()))], names=["toxic", "doc_id", "at"])
 
     return run
 
@@ -283,9 +298,9 @@ class Model:
 def _score(model: Shared, field: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score, fragments = model.get(), Fragments()
-        for batch in batches:
-            texts = pc.struct_field(batch.column(0), [field]) if field else batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(fragments, texts), pa.float64())], names=["src", "score"])
+        for part in _sliced(batches):
+            texts = pc.struct_field(part.column(0), [field]) if field else part.column(1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(fragments, texts), pa.float64())], names=["src", "score"])
 
     return run
 
