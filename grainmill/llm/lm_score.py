@@ -61,13 +61,31 @@ def unpacked_keys(blob: bytes | None) -> np.ndarray:
     return np.cumsum(unpacked(blob), dtype=np.uint64)
 
 
-def _lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each x in the sorted table, -1 where it is not there."""
-    if not len(table):
-        return np.full(len(x), -1, np.int64)
-    at = np.searchsorted(table, x)
-    at[at == len(table)] = 0
-    return np.where(table[at] == x, at, -1)
+class Index:
+    """Finds numbers in a sorted table of distinct random ones by their leading bits, a few steps each."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, bits = table, max(1, len(table).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.bounds = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Index of each x in the table, -1 where it is not there."""
+        out = np.full(len(x), -1, np.int32)
+        if not len(self.table):
+            return out
+        at = self.bounds[x >> self.shift]
+        left = np.arange(len(x), dtype=np.int32)
+        while len(left):
+            inside = at < len(self.table)
+            if not inside.all():
+                x, at, left = x[inside], at[inside], left[inside]
+            found = self.table[at]
+            same = found == x
+            out[left[same]] = at[same]
+            on = found < x
+            x, at, left = x[on], at[on] + 1, left[on]
+        return out
 
 
 def _keys(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
@@ -88,7 +106,7 @@ def _counts(keys: list[np.ndarray], learnt: np.ndarray) -> tuple[np.ndarray, np.
     """The distinct keys, sorted, and how often each is at a place to learn from. Key 0 is none."""
     k, c = np.unique(np.concatenate([x[learnt & (x != 0)] for x in keys]), return_counts=True)
     other = np.unique(np.concatenate([x[~learnt & (x != 0)] for x in keys]))
-    other = other[_lookup(k, other) < 0]
+    other = other[Index(k)(other) < 0]
     every = np.concatenate([k, other])
     by = np.argsort(every, kind="stable")
     return every[by], np.concatenate([c, np.zeros(len(other), np.int64)])[by]
@@ -121,10 +139,12 @@ def _grouped(group_tokens: int):
             shift = np.cumsum([0, *(len(t) for _, t, _ in held_back)])
             ends = np.concatenate([e + s for (_, _, e), s in zip(held_back, shift)])
             docs = pa.Table.from_batches([b for b, _, _ in held_back])
-            vocab, at = np.unique(tokens, return_inverse=True)
+            vocab, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            rank = np.argsort(-n, kind="stable")  # frequent words have small numbers, which pack well
+            vocab, at = vocab[rank], np.argsort(rank)[at]
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind) if not isinstance(x, pa.Array) else x)
             ids, held = (docs.column(c).combine_chunks() for c in ("doc_id", "held_out"))
-            return pa.RecordBatch.from_arrays([pa.array([base + nth], pa.int64()), one(ids, None), one(held, None), one(ends, pa.int32()), pa.array([packed_keys(vocab)]), pa.array([packed(at)])], names=["g", "ids", "held", "ends", "vocab", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([base + nth], pa.int64()), one(ids, None), one(held, None), one(ends, pa.int32()), pa.array([packed(vocab)]), pa.array([packed(at)])], names=["g", "ids", "held", "ends", "vocab", "tokens"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -147,7 +167,7 @@ class Group:
     def __init__(self, row: dict, found: pa.Table | None, order: int):
         self.g, self.ids, self.ends = row["g"], row["ids"], np.array(row["ends"], np.int64)
         self.held = np.array(row["held"], bool)
-        self.vocab, self.at = unpacked_keys(row["vocab"]), unpacked(row["tokens"]).astype(np.int64)
+        self.vocab, self.at = unpacked(row["vocab"]), unpacked(row["tokens"]).astype(np.int64)
         self.keys = _keys(self.vocab[self.at], self.ends, order)
         self.learnt = np.repeat(~self.held, np.diff(self.ends, prepend=0))
         if found is None:
@@ -161,41 +181,50 @@ class Group:
         for n in range(2, order + 1):
             a = join(n, unpacked, "a").astype(np.int64)
             self.known[n] = (join(n, unpacked_keys, "keys"), a >> 1, (a & 1).astype(bool))
+        self.cache: dict[int, np.ndarray] = {}
 
     def places(self, n: int, least: int) -> np.ndarray:
         """For each token the index in its round of the n-gram that ends there, -1 where it isn't kept."""
-        if n == 1:
-            return _lookup(self.known[2][0], self.vocab | np.uint64(1))[self.at]
+        if n not in self.cache:
+            index = Index(self.known[max(2, n)][0])
+            if n == 1:
+                self.cache[n] = index(self.vocab | np.uint64(1))[self.at]
+            else:
+                ask = self.asked(n, least)
+                out = np.full(len(ask), -1, np.int32)
+                out[ask] = index(self.keys[n - 1][ask])
+                self.cache[n] = out
+        return self.cache[n]
+
+    def asked(self, n: int, least: int) -> np.ndarray:
+        """Where an n-gram ends that may be kept: of three tokens or more, only those whose shorter ones both are."""
         ask = self.keys[n - 1] != 0
         if n > 2:
-            ask &= self.extends(n, least)
-        out = np.full(len(ask), -1, np.int64)
-        out[ask] = _lookup(self.known[n][0], self.keys[n - 1][ask])
-        return out
-
-    def extends(self, n: int, least: int) -> np.ndarray:
-        """Where both (n - 1)-grams of an n-gram are kept: no other one can occur `least` times."""
-        at = self._place(n - 1, least) >= 0
-        at[1:] &= at[:-1].copy()
-        at[:1] = False
-        return at
-
-    def _place(self, n: int, least: int) -> np.ndarray:
-        cache = self.__dict__.setdefault("cache", {})
-        if n not in cache:
-            cache[n] = self.places(n, least)
-        return cache[n].copy()
+            shorter = self.places(n - 1, least) >= 0
+            ask &= shorter
+            ask[1:] &= shorter[:-1]
+        return ask
+
+    def arcs(self, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams that this group owns, as indexes in their round, and a place of each."""
+        at, (_, _, own) = self.places(n, least), self.known[n]
+        where = np.full(len(own), -1, np.int32)
+        here = np.nonzero(at >= 0)[0]
+        where[at[here]] = here  # any place of an n-gram tells its tokens
+        gram = np.nonzero(own & (where >= 0))[0]
+        return gram, where[gram]
 
     def contexts(self, order: int, least: int) -> list[tuple[int, np.ndarray]]:
-        """For each round below the last the indexes of keys that may be states with arcs: kept ones, in the order of their keys."""
-        out = []
-        for n in range(2, max(3, order)):
-            keys, c, _ = self.known[n]
-            may = c >= least
-            if n == order:  # pairs are the longest n-grams: of this round only words can have arcs
-                may &= (keys & np.uint64(1)) == 1
-            out.append((n, np.nonzero(may)[0]))
-        return out
+        """For each round below the last the indexes of contexts that this group adds an arc to or falls back from."""
+        out = {n: np.zeros(len(self.known[n][0]), bool) for n in range(2, max(3, order))}
+        for n in range(2, order + 1):
+            context = self.places(n - 1, least)
+            _, pos = self.arcs(n, least)
+            falls = np.nonzero((self.places(n, least)[1:] < 0) & (self.keys[n - 1][1:] != 0) & (context[:-1] >= 0))[0]
+            mark = out[max(2, n - 1)]
+            mark[context[pos - 1]] = True
+            mark[context[falls]] = True
+        return [(n, np.nonzero(mark)[0]) for n, mark in out.items()]
 
 
 def _first(parts: int):
@@ -218,8 +247,7 @@ def _longer(n: int, order: int, least: int, parts: int):
         rows: list[tuple] = []
         for row in tokens.to_pylist():
             group = Group(row, found, n)
-            ask = group.extends(n, least) & (group.keys[n - 1] != 0)
-            keys, c = _counts([np.where(ask, group.keys[n - 1], np.uint64(0))], group.learnt)
+            keys, c = _counts([np.where(group.asked(n, least), group.keys[n - 1], np.uint64(0))], group.learnt)
             rows += _blobs(group.g, parts, keys, c)
         return _table(rows)
 
@@ -273,17 +301,10 @@ def _states(order: int, least: int, parts: int):
             group = Group(row, found, order)
             sums = {n: np.zeros((3, len(group.known[n][0])), np.int64) for n in group.known}
             for n in range(2, order + 1):
-                _, c, own = group.known[n]
-                at = group._place(n, least)
-                where = np.zeros(len(c), np.int64)
-                here = np.nonzero(at >= 0)[0]
-                where[at[here]] = here  # any place of an n-gram tells its tokens
-                gram = np.unique(at[here])
-                gram = gram[own[gram]]
-                pos = where[gram]
+                gram, pos = group.arcs(n, least)
                 low = max(2, n - 1)
-                context, shorter = group._place(n - 1, least)[pos - 1], group._place(n - 1, least)[pos]
-                for k, x in enumerate((np.ones(len(gram)), c[gram], group.known[low][1][shorter])):
+                context, shorter = group.places(n - 1, least)[pos - 1], group.places(n - 1, least)[pos]
+                for k, x in enumerate((np.ones(len(gram)), group.known[n][1][gram], group.known[low][1][shorter])):
                     sums[low][k] += np.bincount(context, x, minlength=sums[low].shape[1]).astype(np.int64)
             picked = group.contexts(order, least)
             keys = np.concatenate([group.known[n][0][i] for n, i in picked])
@@ -323,11 +344,9 @@ def _backs(group: Group, order: int, least: int, n_all: int, n_distinct: int) ->
         at += len(i)
         keys_n, count, _ = group.known[n]
         low = np.zeros(len(count), np.int64)  # of each n-gram, the count of its last tokens but the first
-        for length in (2,) if n == 2 else (n,):
-            here = group._place(length, least)
-            pos = np.nonzero(here >= 0)[0]
-            shorter = group._place(length - 1, least)[pos]
-            low[here[pos]] = group.known[max(2, length - 1)][1][shorter]
+        here = group.places(n, least)
+        pos = np.nonzero(here >= 0)[0]
+        low[here[pos]] = group.known[max(2, n - 1)][1][group.places(n - 1, least)[pos]]
         word = (keys_n[i] & np.uint64(1)) == 1
         left = 1 - (c - DISCOUNT * m) / np.maximum(count[i], 1)
         free = 1 - np.where(word, (lower + 0.1 * m) / (n_all + 0.1 * (n_distinct + 1)), (lower - DISCOUNT * m) / np.maximum(low[i], 1))
@@ -342,7 +361,7 @@ def _scored(order: int, least: int, n_all: int, n_distinct: int):
         for row in tokens.to_pylist():
             group = Group(row, found, order)
             backs = _backs(group, order, least, n_all, n_distinct)
-            at = group._place(1, least)
+            at = group.places(1, least)
             size = len(at)
             pick = lambda x, i: np.where(i >= 0, x[np.maximum(i, 0)], 0) if len(x) else np.zeros(len(i), x.dtype)
             count = pick(group.known[2][1], at)
@@ -353,7 +372,7 @@ def _scored(order: int, least: int, n_all: int, n_distinct: int):
                 context, back = np.ones(size), np.zeros(size)
                 context[1:] = np.maximum(count[:-1], 1)
                 back[1:] = pick(backs[max(2, n - 1)], at[:-1])
-                at = group._place(n, least)
+                at = group.places(n, least)
                 count = pick(group.known[n][1], at)
                 within = group.keys[n - 1] != 0
                 score = np.where(at >= 0, np.log10(np.maximum(count - DISCOUNT, DISCOUNT) / context), np.where(within, score + back, score))
