@@ -31,15 +31,15 @@ def scratch_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there and lost executors cost nothing
-    before it. The shuffle files behind it, which nothing reads again, are deleted."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder, in folders by a column if given, and read it back: lineage ends there
+    and lost executors cost nothing before it. The shuffle files behind it, which nothing reads again, are deleted."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/grainmill-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -48,21 +48,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 class Buckets:
-    """A Parquet table in the shared folder whose rows are dealt to buckets by a column: groupings by it need no other shuffle.
+    """A Parquet table in the shared folder whose rows are dealt to buckets by columns, each file sorted by them: groupings and
+    joins by them need no other shuffle.
 
     Each add() appends; read() has all rows so far. The engine's catalog knows the table until close(); what was read before
     stays readable, and so do the files.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int, col: str):
-        self.spark, self.n, self.col = spark, buckets, col
+    def __init__(self, spark: SparkSession, name: str, buckets: int, *cols: str):
+        self.spark, self.n, self.cols = spark, buckets, cols
         self.path, self.table = f"{scratch_dir(spark)}/grainmill-{name}-{uuid.uuid4().hex}", f"grainmill_{uuid.uuid4().hex}"
 
-    def add(self, df: DataFrame) -> Buckets:
+    def add(self, df: DataFrame, dealt: bool = False) -> Buckets:
+        """dealt: the rows of df lie in such buckets already, as those made from such tables alone do."""
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.repartition(self.n, self.col).write.format("parquet").mode("append").option("compression", "zstd").option("path", self.path).bucketBy(self.n, self.col).sortBy(self.col).saveAsTable(self.table)
+            rows = df if dealt else df.repartition(self.n, *self.cols)
+            rows.write.format("parquet").mode("append").option("compression", "zstd").option("path", self.path).bucketBy(self.n, *self.cols).sortBy(*self.cols).saveAsTable(self.table)
         finally:
             self.spark.conf.set(CLEANUP, before)
         return self
@@ -70,7 +73,12 @@ class Buckets:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def close(self) -> None:
+    def close(self, files: bool = False) -> None:
+        """Take the table out of the catalog, and delete its files where nothing reads them any more."""
+        if files:
+            out = self.read()
+            out._staged_path = self.path
+            dropped(out)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 

@@ -349,7 +349,7 @@ def test_lines(docs):
 
 
 def test_lines_by_batches(spark):
-    store = line_dedup.LineRuns(fanout=2)
+    store = line_dedup.LineRuns(spark, fanout=2, buckets=3)
     seen, out = set(), {}
     for b in range(5):
         rows = [(10 * b + i, "\n".join(f"this is shared line number {(b * 3 + i + k) % 17}" for k in range(3))) for i in range(4)]
