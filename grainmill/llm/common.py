@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pickle
 import tempfile
 import uuid
@@ -120,22 +121,37 @@ def crc_mod(c, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % n
 
 
+def matched(rows: DataFrame, entries: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows with the columns of their entry; entries are unique by `on`, and count says how many of the `total` rows each has.
+
+    An entry with a thousandth of the rows meets them by broadcast (there are a thousand of those at most), so that no key's
+    rows meet in one task; the others are joined by merge. Rows without an entry go, as do the columns count.
+    """
+    more = [c for c in entries.columns if c not in on and c != count]
+    often = F.col(count) * 1000 >= max(total, 1)
+    hot = entries.where(often).select(*(F.col(c).alias(f"_{c}") for c in on), F.struct(*more, F.lit(1).alias("_")).alias("_hot"))
+    met = functools.reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in on))
+    some = rows.join(F.broadcast(hot), met, "left").drop(*(f"_{c}" for c in on))
+    rest = some.where("_hot is null").drop("_hot").join(entries.where(~often).select(*on, *more).hint("merge"), on).select(*rows.columns, *more)
+    return some.where("_hot is not null").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in more)).unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a long, b long): a row (node, component) for each node, component the smallest node.
+    """Connected components of edges (a long, b long): a staged row (node, component) for each node, component the smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each a hash aggregation over edges with map-side
     combine; the number of rounds grows with the logarithm of the nodes. A node with very many neighbours is never gathered:
-    its minimum is aggregated, then joined back.
+    its minimum is aggregated, then met by matched().
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        joined = both.join(least, both["a"] == least["k"])
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        joined = matched(both, least, ["a"], "n", 2 * n)
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
+            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
     def mark(e: DataFrame):
@@ -144,7 +160,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = staged(edges.where("a <> b").select("a", "b").distinct(), "edges")
     seen = mark(now)
     for _ in range(rounds):
-        after = staged(star(star(now, True), False), "edges")
+        after = staged(star(star(now, True, seen[0]), False, seen[0]), "edges")
         dropped(now)
         now, before = after, seen
         seen = mark(now)
@@ -153,4 +169,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = staged(nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    dropped(now)
+    return out

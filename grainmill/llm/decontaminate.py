@@ -16,8 +16,8 @@ from .common import Shared, beside
 from .words import MULT, WordHasher, mix
 
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
-#: Windows embedded at once in a worker.
-BATCH = 1_000
+#: Words of windows embedded at once in a worker, and windows at most.
+BATCH_WORDS, BATCH = 200_000, 1_000
 #: Bytes of texts searched at once in a worker.
 CHUNK = 6_000_000
 
@@ -27,23 +27,29 @@ def allowed(n: int, percent: int) -> int:
     return n * (100 - percent) // 100
 
 
-def cgk(strings: np.ndarray, reps: int, steps: int) -> np.ndarray:
-    """CGK embeddings (Chakraborty, Goldenberg, Koucky, 2016) of rows of equal length, by repetition: (steps, reps * rows).
+def cgk(strings: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sampled places of CGK embeddings (Chakraborty, Goldenberg, Koucky, 2016) of rows of equal length: (places of a
+    repetition, repetitions, rows), for places of each repetition, (repetitions, places).
 
     A pointer walks along each row; output j is the symbol under it, and the pointer moves on where a random bit of (j,
     symbol), drawn anew for each repetition, says so. Two rows with few edits fall into step again after each edit, so their
-    outputs differ in few places. Past the row's end the symbol is 0.
+    outputs differ in few places. Past the row's end the symbol is 0. Only the outputs at the places are kept.
     """
     rows, n = strings.shape
+    reps, bits = places.shape
     flat = np.concatenate([strings, np.zeros((rows, 1), np.uint64)], axis=1).ravel()
     at = np.tile(np.arange(rows) * (n + 1), reps)
     end = at + n
-    salts = mix(np.arange(1, reps * steps + 1, dtype=np.uint64) * MULT).reshape(steps, reps)
-    out = np.empty((steps, reps * rows), np.uint64)
-    for j in range(steps):
-        out[j] = x = flat[at]
-        mixed = (x ^ np.repeat(salts[j], rows)) * MULT
-        at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), end)
+    out = np.empty((bits, reps, rows), np.uint64)
+    wanted = {int(j): np.nonzero(places == j) for j in np.unique(places)}
+    number = np.arange(1, reps + 1, dtype=np.uint64)
+    for j in range(int(places.max()) + 1):
+        x = flat[at]
+        if j in wanted:
+            rep, bit = wanted[j]
+            out[bit, rep] = x.reshape(reps, rows)[rep]
+        salts = mix((np.uint64(j * reps) + number) * MULT)
+        at = np.minimum(at + (((x ^ np.repeat(salts, rows)) * MULT) >> np.uint64(63)).astype(np.int64), end)
     return out
 
 
@@ -51,16 +57,16 @@ def sample_keys(strings: np.ndarray, reps: int, bits: int) -> np.ndarray:
     """LSH keys, (reps, rows): `bits` sampled places of each embedding, hashed together."""
     rows, n = strings.shape
     steps = 2 * n
-    e = cgk(strings, reps, steps).reshape(steps, reps, rows)
     rng = np.random.default_rng(n)
     places = np.array([rng.choice(steps, min(bits, steps), replace=False) for _ in range(reps)])
+    e = cgk(strings, places)
     key = np.repeat(np.arange(1, reps + 1, dtype=np.uint64)[:, None], rows, 1)
-    for k in range(places.shape[1]):
-        key = mix(key * MULT + e[places[:, k], np.arange(reps)])
+    for x in e:
+        key = mix(key * MULT + x)
     return key
 
 
-def repetitions(n: int, percent: int, bits: int, recall: float, trials: int = 800, samples: int = 64) -> int:
+def repetitions(n: int, percent: int, bits: int, recall: float, trials: int | None = None, samples: int = 64) -> int:
     """How often to sample so that an item with the most edits allowed is met with the recall wished for.
 
     Measured: random rows of n symbols take allowed(n) random edits, and each pair's keys are compared `samples` times. Pairs
@@ -71,6 +77,7 @@ def repetitions(n: int, percent: int, bits: int, recall: float, trials: int = 80
     k = allowed(n, percent)
     if not k:
         return 1
+    trials = trials or max(100, min(800, 400_000 // n))  # shares of long rows vary less
     rng = np.random.default_rng(97 + n)
     a = rng.integers(1, 2**62, (trials, n)).astype(np.uint64)
     b = np.empty_like(a)
@@ -87,8 +94,8 @@ def repetitions(n: int, percent: int, bits: int, recall: float, trials: int = 80
             row = row or [1]
         b[t] = (row + rng.integers(1, 2**62, n).tolist())[:n]  # the window goes on into other text, or is cut
     def agree(reps: int) -> np.ndarray:
-        parts = range(0, trials, 25)
-        return np.concatenate([(sample_keys(a[t : t + 25], reps, bits) == sample_keys(b[t : t + 25], reps, bits)).sum(0) for t in parts])
+        size = max(1, min(25, BATCH_WORDS // n))
+        return np.concatenate([(sample_keys(a[t : t + size], reps, bits) == sample_keys(b[t : t + size], reps, bits)).sum(0) for t in range(0, trials, size)])
 
     away = 1 - (agree(samples) + 0.5) / (samples + 1)
     r, missed = 1, away.copy()
@@ -170,8 +177,9 @@ class Finder:
             spans = [np.arange(max(z - n + 1, starts[whose[a]]), a + 1) for a, z in zip(first[ok].tolist(), last[ok].tolist())]
             near = np.unique(np.concatenate(spans)) if spans else np.empty(0, np.int64)
             met: dict[tuple[int, int], set[int]] = {}
-            for lo in range(0, len(near), BATCH):
-                pos = near[lo : lo + BATCH]
+            size = max(1, min(BATCH, BATCH_WORDS // n))
+            for lo in range(0, len(near), size):
+                pos = near[lo : lo + size]
                 idx = pos[:, None] + np.arange(n)
                 inside = idx < limit[pos][:, None]
                 windows = np.where(inside, words[np.minimum(idx, len(words) - 1)], np.uint64(0))
@@ -210,28 +218,31 @@ def _stretches(at: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield first, last
 
 
-def _find(finder, field: str | None):
-    """Columns src, leaks so far and (unless src has it as field) text; the items found are put after the leaks so far."""
+def _find(finders: list[Shared], field: str | None):
+    """Columns src, leaks so far and (unless src has it as field) text; the items found are put after the leaks so far. With
+    several blocks of items a task unpacks one at a time, for each batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, hasher = finder.get(), WordHasher()
+        hasher, one = WordHasher(), finders[0].get() if len(finders) == 1 else None
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
         for batch in batches:
             texts = pc.struct_field(batch.column(0), [field]) if field else batch.column(2)
             hits, sizes = batch.column(1).to_pylist(), np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            base = 0
-            while base < len(texts):
-                below = sizes[base - 1] if base else 0
-                upto = max(base + 1, int(np.searchsorted(sizes, below + CHUNK, "right")))
-                for t, item, start, end, d in find(*hasher(texts.slice(base, upto - base))):
-                    hits[base + t].append({"item_id": item, "start": start, "end": end, "edits": d})
-                base = upto
+            for finder in finders:
+                find, base = one or finder.get(), 0
+                while base < len(texts):
+                    below = sizes[base - 1] if base else 0
+                    upto = max(base + 1, int(np.searchsorted(sizes, below + CHUNK, "right")))
+                    for t, item, start, end, d in find(*hasher(texts.slice(base, upto - base))):
+                        hits[base + t].append({"item_id": item, "start": start, "end": end, "edits": d})
+                    base = upto
+                del find
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, kind), *batch.columns[2:]], names=batch.schema.names)
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, percent: int = 80, bits: int = 2, recall: float = 0.99, most_reps: int = 32, item_block: int = 2_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, percent: int = 80, bits: int = 2, recall: float = 0.99, most_reps: int = 32, item_block: int = 2_000, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The columns in keep (all, if None) of every document, and leaks: an array of (item_id, start, end, edits), the best
     window of each benchmark item that the text holds with word edit distance <= (100 - percent) % of the item's words.
 
@@ -241,8 +252,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     for to meet `recall` at the most edits allowed (fewer places where that would take more than most_reps tables); then the
     edit distance is computed exactly.
 
-    The items go to the workers in blocks of item_block, one pass over the texts for each block, so what is broadcast is
-    bounded. Null, empty and wordless items match nothing; null texts hold nothing; repeated rows are judged alike; an empty
+    The items go to the workers in blocks of item_block items or block_chars characters; one pass over the texts serves all, and a
+    task holds one block at a time. An item is never cut, so the longest one bounds a block from below. Null, empty and wordless items match nothing; null texts hold nothing; repeated rows are judged alike; an empty
     table gives an empty result. Extra columns pass through; one named leaks gives way to the new one.
     """
     spark = docs.sparkSession
@@ -250,15 +261,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     src, cols, inside = beside(docs, docs.columns if keep is None else keep, text_col, "leaks")
     out = src.withColumn("leaks", F.array().cast(LEAKS)).select("src", "leaks", *([] if inside else ["text"]))
 
-    def scanned(df: DataFrame, own: list[tuple[int, str]]) -> DataFrame:
-        finder = Shared(spark, Finder(own, percent, bits, recall, most_reps))
-        return df.mapInArrow(_find(finder, text_col if inside else None), df.schema)
-
+    finders: list[Shared] = []
     block: list[tuple[int, str]] = []
+    size = 0
+
+    def close() -> None:
+        finders.append(Shared(spark, Finder(block, percent, bits, recall, most_reps)))
+
     for row in items.toLocalIterator():
         block.append((row["i"], row["t"]))
-        if len(block) >= item_block:
-            out, block = scanned(out, block), []
+        size += len(row["t"])
+        if len(block) >= item_block or size >= block_chars:
+            close()
+            block, size = [], 0
     if block:
-        out = scanned(out, block)
+        close()
+    if finders:
+        out = out.mapInArrow(_find(finders, text_col if inside else None), out.schema)
     return out.select(*(F.col("src")[c].alias(c) for c in cols), "leaks")

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Buckets, ascii_lower, dropped, staged
+from .common import ASCII_SPACE, Buckets, ascii_lower, dropped, matched, staged
 
 #: What tells lines apart: 128 bits of hash.
 KEY = ("h1", "h2")
@@ -106,22 +106,6 @@ class LineRuns:
             r.close(files=True)
 
 
-def _met(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows of lines whose hashes are among the repeated, with their top.
-
-    A line as frequent as a thousandth of all lines meets its entry by broadcast (a thousand of them at most); what has
-    met, or is no repeated line's, joins the others under a key that spreads it, so no line's rows meet in one task.
-    """
-    total = lines.count()
-    common = F.col("docs") * 1000 >= max(total, 1)
-    often = F.broadcast(repeated.where(common).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("top").alias("often")))
-    rest = repeated.where(~common).select("h1", "h2", F.col("top").alias("rare"))
-    some = lines.join(often, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left").drop("o1", "o2")
-    by_often = some.where("often is not null").select(*lines.columns, F.col("often").alias("top"))
-    by_rare = some.where("often is null").select(*lines.columns).join(rest.hint("merge"), list(KEY)).select(*lines.columns, F.col("rare").alias("top"))
-    return by_often.unionByName(by_rare)
-
-
 def dedup_new(batch: DataFrame, store: LineRuns, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The incremental form: drop from each text the lines that earlier batches hold, then add the batch's own lines to the store.
 
@@ -168,7 +152,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         store.add(lines.where(F.col("batch") == b))
     again = store.repeated(min_docs)
     store.close()
-    held = _met(lines.select("doc", "row", "pos", *KEY), again).where(F.col("doc") < F.col("top")).select("doc", "row", "pos").distinct()
+    held = matched(lines.select("doc", "row", "pos", *KEY), again, list(KEY), "docs", lines.count()).where(F.col("doc") < F.col("top")).select("doc", "row", "pos").distinct()
     gone = staged(held, "gone")
     dropped(lines, again)
     return _without(docs, gone, id_col, text_col)

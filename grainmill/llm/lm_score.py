@@ -102,6 +102,15 @@ def _keys(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def packed_bits(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(np.packbits(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_bits(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return np.unpackbits(np.frombuffer(pa.decompress(blob[8:], decompressed_size=-(-n // 8), codec="zstd"), np.uint8), count=n).astype(bool)
+
+
 def _counts(keys: list[np.ndarray], learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and how often each is at a place to learn from. Key 0 is none."""
     k, c = np.unique(np.concatenate([x[learnt & (x != 0)] for x in keys]), return_counts=True)
@@ -164,7 +173,7 @@ def _grouped(group_tokens: int):
 class Group:
     """A group's tokens, and what is known of its n-grams from the tables of rounds found so far."""
 
-    def __init__(self, row: dict, found: pa.Table | None, order: int):
+    def __init__(self, row: dict, found: pa.Table | None, order: int, least: int = 1):
         self.g, self.ids, self.ends = row["g"], row["ids"], np.array(row["ends"], np.int64)
         self.held = np.array(row["held"], bool)
         self.vocab, self.at = unpacked(row["vocab"]), unpacked(row["tokens"]).astype(np.int64)
@@ -176,12 +185,16 @@ class Group:
         self.rounds = {n: [r for r in by if r["round"] == n] for n in range(order + 1)}
         join = lambda n, f, c: np.concatenate([np.empty(0, np.uint64), *(f(r[c]) for r in self.rounds[n])])
         self.state = [join(0, unpacked, c).astype(np.int64) for c in ("a", "b", "c")]
-        # Of each round: sorted keys, counts, and whether this group owns them. The first has words and pairs, each later one n-grams of one length.
-        self.known = {}
+        # Of each round: the sorted keys that are kept, counts, and whether this group owns them. The first has words and pairs, each later one n-grams of one length.
+        self.known, self.cache = {}, {}
         for n in range(2, order + 1):
-            a = join(n, unpacked, "a").astype(np.int64)
-            self.known[n] = (join(n, unpacked_keys, "keys"), a >> 1, (a & 1).astype(bool))
-        self.cache: dict[int, np.ndarray] = {}
+            if not self.rounds[n]:
+                self.known[n] = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool))
+                continue
+            a, kept = join(n, unpacked, "a").astype(np.int64), np.concatenate([unpacked_bits(r["keys"]) for r in self.rounds[n]])
+            sent = self.keys[:2] if n == 2 else [self.keys[n - 1][self.asked(n, least)]]
+            sent = np.unique(np.concatenate(sent))
+            self.known[n] = (sent[sent != 0][kept], a >> 1, (a & 1).astype(bool))
 
     def places(self, n: int, least: int) -> np.ndarray:
         """For each token the index in its round of the n-gram that ends there, -1 where it isn't kept."""
@@ -246,7 +259,7 @@ def _longer(n: int, order: int, least: int, parts: int):
     def run(key: tuple, tokens: pa.Table, found: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         for row in tokens.to_pylist():
-            group = Group(row, found, n)
+            group = Group(row, found, n, least)
             keys, c = _counts([np.where(group.asked(n, least), group.keys[n - 1], np.uint64(0))], group.learnt)
             rows += _blobs(group.g, parts, keys, c)
         return _table(rows)
@@ -255,8 +268,8 @@ def _longer(n: int, order: int, least: int, parts: int):
 
 
 def _summed(n: int, least: int):
-    """Counts of a part's keys over all groups, given back to each group that has them: n-grams seen `least` times or more, and
-    every known word. The first group that learns from one owns it."""
+    """Counts of a part's keys over all groups, given back to each group that sent them, in the order of its keys: which are kept
+    (n-grams seen `least` times or more, and every known word), and their counts. The first group that learns from one owns it."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.sort_by("g").to_pylist()
@@ -279,11 +292,10 @@ def _summed(n: int, least: int):
         value = np.empty(len(k), np.int64)
         value[by] = np.where(kept[which], total[which] * 2 + own, -1)
         out, upto = [], np.cumsum([0, *(len(x) for x in each)])
-        for i, (r, x) in enumerate(zip(rows, each)):
+        for i, r in enumerate(rows):
             v = value[upto[i] : upto[i + 1]]
             has = v >= 0
-            if has.any():
-                out.append({"g": r["g"], "round": n, "part": r["part"], "keys": packed_keys(x[has]), "a": packed(v[has])})
+            out.append({"g": r["g"], "round": n, "part": r["part"], "keys": packed_bits(has), "a": packed(v[has])})
         if out:
             out[0] |= {"n_all": int(total[word].sum()), "n_distinct": int((word & (total > 0)).sum())}
         return pa.Table.from_pylist(out, schema=pa.schema([("g", pa.int64()), ("round", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "a", "b", "c")), ("n_all", pa.int64()), ("n_distinct", pa.int64())]))
@@ -298,7 +310,7 @@ def _states(order: int, least: int, parts: int):
     def run(key: tuple, tokens: pa.Table, found: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         for row in tokens.to_pylist():
-            group = Group(row, found, order)
+            group = Group(row, found, order, least)
             sums = {n: np.zeros((3, len(group.known[n][0])), np.int64) for n in group.known}
             for n in range(2, order + 1):
                 gram, pos = group.arcs(n, least)
@@ -359,7 +371,7 @@ def _scored(order: int, least: int, n_all: int, n_distinct: int):
     def run(key: tuple, tokens: pa.Table, found: pa.Table) -> pa.Table:
         parts = []
         for row in tokens.to_pylist():
-            group = Group(row, found, order)
+            group = Group(row, found, order, least)
             backs = _backs(group, order, least, n_all, n_distinct)
             at = group.places(1, least)
             size = len(at)
@@ -399,8 +411,8 @@ def score_texts(docs: DataFrame, folds: int = 10, order: int = 3, least: int = 2
 
     States and arcs are rows of tables and are never gathered. Texts become groups of about group_tokens tokens as they are
     read (a longer text is a group of its own), kept as numbers of the group's words. A group sends its distinct n-grams with
-    their counts to the tasks that sum ranges of n-gram hashes, packed as sorted gaps; those that are kept come back with
-    their counts. Words and pairs go first; an n-gram of three tokens or more goes only if both its shorter ones were kept,
+    their counts to the tasks that sum ranges of n-gram hashes, packed as sorted gaps; which of them are kept comes back,
+    with their counts. Words and pairs go first; an n-gram of three tokens or more goes only if both its shorter ones were kept,
     which loses none. The first group that learns from an n-gram owns it and adds it to its context; the sums (whole numbers,
     so order does not matter) give the weights of failure arcs. A frequent n-gram is one entry per group.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, dropped, matched, staged
 from .words import MULT, WordHasher, mix
 
 
@@ -135,12 +135,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     4. The links (at most two blocks less one per task) are closed to components.
 
     Texts without words have an empty set and are alone. Null ids are not allowed to link: such rows are alone, with a null
-    component. Repeated rows count as copies. An empty table gives an empty result. Other columns are not read.
+    component. Rows that repeat an id are one document: they have one component, whether their texts are copies or differ; each has
+    the n_shingles of its own text. An empty table gives an empty result. Other columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    total, distinct = src.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if total > distinct:
+        how = {"percent": percent, "width": width, "coordinates": coordinates, "least": least, "block": block}
+        return _by_rows(src, **how).withColumnRenamed("doc_id", id_col)
     signed = staged(src.mapInArrow(_sign(width, coordinates), "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>"), "signed")
-    sets = staged(signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "sets")
-    reps = signed.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id", "k1", "k2"])
+    sets = staged(signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
+    reps = signed.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0")
 
     posted = reps.select("doc_id", F.explode("sig").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -151,21 +156,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
 
     heads = postings.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
     stars = postings.join(heads, "token").select(F.col("doc_id").alias("a"), "b")
-    clusters = staged(components(stars), "clusters")
+    clusters = components(stars)
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A merge join at every size: which texts are asked for grows with the corpus and is never broadcast.
-    texts = placed.hint("merge").join(src.dropDuplicates(["doc_id"]) if _repeats(signed) else src, placed["node"] == src["doc_id"]).select("component", "blocks", "block", "doc_id", "text")
+    texts = placed.hint("merge").join(src, placed["node"] == src["doc_id"]).select("component", "blocks", "block", "doc_id", "text")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tasks = texts.select("component", "block", "doc_id", "text", F.explode(other).alias("t")).select("component", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "block", "doc_id", "text")
     links = staged(tasks.groupBy("component", "i", "j").applyInArrow(_verify(width, coordinates, least, percent), "a long, b long"), "links")
     groups = components(links).select(F.col("node").alias("rep"), "component")
-
-    named = sets.join(groups, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+    dropped(postings, clusters, links)
+
+    named = sets.join(groups, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
+    cols = ["doc_id", "n_shingles", "k1", "k2"]
+    joins = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    grouped = matched(signed.where(joins).select(*cols), named, ["k1", "k2"], "n", signed.count()).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = signed.where(~joins).select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
+    out = grouped.unionByName(alone)
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _repeats(signed: DataFrame) -> bool:
-    total, distinct = signed.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return total > distinct
+def _by_rows(src: DataFrame, **how) -> DataFrame:
+    """near_duplicates() where ids repeat: each distinct (id, text) is a node, and the nodes of one id are linked, since they are
+    one document. An id's rows have one component; n_shingles is of the row's own text."""
+    rows = src.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = staged(near_duplicates(rows.where("key is not null").dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text"), **how), "rows")
+    own = staged(rows.where("key is not null").select("doc_id", "key").distinct(), "own")
+    first = own.groupBy("doc_id").agg(F.min("key").alias("b"))
+    edges = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(own.join(first, "doc_id").select(F.col("key").alias("a"), "b"))
+    groups = components(edges)
+    placed = own.join(groups, own["key"] == groups["node"], "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(names, "component").select("key", "component_id").join(found.select(F.col("doc_id").alias("key"), "n_shingles"), "key")
+    null = near_duplicates(src.where("doc_id is null"), **how)
+    known = rows.where("key is not null").select("doc_id", "key").join(named, "key").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return known.unionByName(null)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,8 +14,8 @@ from .common import staged
 
 #: Texts with this string go to the tokenizers library itself, which may read it as one special id.
 SPECIAL = "<|endoftext|>"
-#: Entries in a worker's memory of encoded words; it is emptied when full.
-CACHE = 300_000
+#: Characters in a worker's memory of encoded words, which is emptied when full, and in the longest part that it keeps.
+CACHE, LONGEST = 4_000_000, 64
 
 PIECES = "doc_id long, row long, n_ids long, head long, lengths array<int>, crcs array<long>, ids array<binary>"
 
@@ -40,6 +40,7 @@ class Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     def __call__(self, text: str) -> bytes:
         from array import array
@@ -49,14 +50,17 @@ class Encoder:
         parts = text.split(" ")
         if any(p == "" or p[0].isspace() or p[-1].isspace() for p in parts):
             return array("I", self.fast.encode_ordinary(text)).tobytes()
-        if len(self.seen) > CACHE:
+        if self.held > CACHE:
             self.seen.clear()
+            self.held = 0
         seen, out = self.seen, [array("I", self.fast.encode_ordinary(parts[0])).tobytes()]
         for p in parts[1:]:
             got = seen.get(p)
             if got is None:
                 got = array("I", self.fast.encode_ordinary(" " + p)).tobytes()
-                seen[p] = got
+                if len(p) <= LONGEST:
+                    seen[p] = got
+                    self.held += len(p)
             out.append(got)
         return b"".join(out)
 
@@ -112,69 +116,112 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, window: int = 48, rounds: int = 8) -> list[list[int]]:
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer bins: by the sum of the sizes, and by those over half of the capacity, no two of which share a bin."""
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Moves and exchanges between underfull bins, each of which must raise the sum of squared fills, until bins empty.
 
-    The least full bins, up to `window` of them, are the donors, one at a time; the other underfull bins receive. Moving a
-    document, or giving a larger one for one or two smaller ones, raises the squared fill when the receiver ends fuller than
-    either was before. A round ends when no such step is left; it stops early at the least possible number of bins.
+    The underfull bins give, the least full first, and all other underfull ones receive. Moving a document, or exchanging one
+    for one, two for one or one for two, raises the squared fill when the receiver ends fuller than either was before. Rounds
+    go on until none changes anything or the least possible number of bins is reached; the sum of squares grows by whole
+    numbers, so they end. What two bins can do depends on their sizes alone; pairs of contents that had nothing to do are
+    remembered and not tried again.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    for _ in range(rounds):
+    least, idle = least_bins([sizes[i] for b in bins for i in b], capacity), set()
+    content = lambda b: tuple(sorted(sizes[i] for i in bins[b]))
+    changed = True
+    while changed:
+        changed = False
         live = [b for b in range(len(bins)) if bins[b]]
         if len(live) <= least:
             break
-        changed = False
-        donors = sorted((b for b in live if fill[b] < capacity), key=lambda b: (fill[b], b))[:window]
-        for give in donors:
-            if not bins[give]:
-                continue
-            takers = sorted((b for b in live if b != give and bins[b] and fill[b] < capacity), key=lambda b: (-fill[b], b))
-            for take in takers:
-                step = _step(bins[give], bins[take], fill[give], fill[take], sizes, capacity)
-                while step and bins[give]:
-                    out, back = step
-                    bins[give] = [i for i in bins[give] if i not in out] + back
-                    bins[take] = [i for i in bins[take] if i not in back] + out
-                    moved = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-                    fill[give] -= moved
-                    fill[take] += moved
-                    changed = True
-                    step = _step(bins[give], bins[take], fill[give], fill[take], sizes, capacity)
+        under = [b for b in live if fill[b] < capacity]
+        by_content: dict[tuple, list[int]] = {}
+        for b in sorted(under, key=lambda b: (-fill[b], b)):
+            by_content.setdefault(content(b), []).append(b)
+        for give in sorted(under, key=lambda b: (fill[b], b)):
+            own = content(give) if bins[give] else ()
+            for like, takers in list(by_content.items()):
                 if not bins[give]:
                     break
-        if not changed:
-            break
+                if (own, like) in idle:
+                    continue
+                for take in takers:
+                    if take == give or not bins[take] or content(take) != like or not bins[give]:
+                        continue
+                    step = _step(bins[give], bins[take], fill[give], fill[take], sizes, capacity)
+                    if not step:
+                        idle.add((own, like))
+                        break
+                    while step and bins[give]:
+                        out, back = step
+                        bins[give] = [i for i in bins[give] if i not in out] + back
+                        bins[take] = [i for i in bins[take] if i not in back] + out
+                        moved = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
+                        fill[give] -= moved
+                        fill[take] += moved
+                        changed = True
+                        step = _step(bins[give], bins[take], fill[give], fill[take], sizes, capacity)
+                    own = content(give)
     return [b for b in bins if b]
 
 
 def _step(give: list[int], take: list[int], fg: int, ft: int, sizes: list[int], capacity: int) -> tuple[list[int], list[int]] | None:
-    """The move, one-for-one or two-for-one exchange from give to take that fits and most raises the squared fill; None if none does."""
+    """The move, one-for-one, two-for-one or one-for-two exchange from give to take that fits and most raises the squared fill;
+    None if none does. Documents of one size stand for each other, and a bin has few different sizes (45 add up to more than
+    1024), so the pairs are few: each looks up the largest size on the other side that fits."""
     room, best, found = capacity - ft, max(0, fg - ft), None  # moving d > fg - ft from give to take raises fg^2 + ft^2
-    for i in give:
-        if best < sizes[i] <= room:
-            best, found = sizes[i], ([i], [])
+    mine, theirs = _by_size(give, sizes), _by_size(take, sizes)
+    ours, others = sorted(mine), sorted(theirs)
+    for s in ours:
+        if best < s <= room:
+            best, found = s, ([mine[s][0]], [])
     if found and best == room:
         return found
-    for i in give:
-        for j in take:
-            if best < (d := sizes[i] - sizes[j]) <= room:
-                best, found = d, ([i], [j])
-    if len(give) * len(take) * max(len(give), len(take)) <= 20_000:
-        for i in give:
-            for a in range(len(take)):
-                for b in range(a):
-                    if best < (d := sizes[i] - sizes[take[a]] - sizes[take[b]]) <= room:
-                        best, found = d, ([i], [take[a], take[b]])
-        for j in take:
-            for a in range(len(give)):
-                for b in range(a):
-                    if best < (d := sizes[give[a]] + sizes[give[b]] - sizes[j]) <= room:
-                        best, found = d, ([give[a], give[b]], [j])
+
+    def largest(table: list[int], most: int) -> int:
+        at = bisect_right(table, most)
+        return table[at - 1] if at else 0
+
+    for t in others:  # one of give for one of take
+        s = largest(ours, t + room)
+        if best < s - t:
+            best, found = s - t, ([mine[s][0]], [theirs[t][0]])
+    for back in _pairs(theirs):  # one of give for two of take
+        total = sum(sizes[i] for i in back)
+        s = largest(ours, total + room)
+        if best < s - total:
+            best, found = s - total, ([mine[s][0]], back)
+    for out in _pairs(mine):  # two of give for the smallest of take that makes them fit
+        total = sum(sizes[i] for i in out)
+        at = bisect_left(others, total - room)
+        if at < len(others) and best < total - others[at]:
+            best, found = total - others[at], (out, [theirs[others[at]][0]])
     return found
 
 
+def _by_size(own: list[int], sizes: list[int]) -> dict[int, list[int]]:
+    """Two documents at most of each size."""
+    out: dict[int, list[int]] = {}
+    for i in own:
+        if len(out.setdefault(sizes[i], [])) < 2:
+            out[sizes[i]].append(i)
+    return out
+
+
+def _pairs(by_size: dict[int, list[int]]) -> Iterator[list[int]]:
+    for s, a in by_size.items():
+        if len(a) > 1:
+            yield a
+        for t, b in by_size.items():
+            if t < s:
+                yield [a[0], b[0]]
+
+
 def _pack(capacity: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("row", "ascending")])

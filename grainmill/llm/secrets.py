@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import matched, staged
 
 # The kinds in their listed order, the pattern of each, and the least length of the part that counts.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -13,6 +13,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run of 32 or more: shorter runs never fit, so each match is a whole run
 #: What may be a credential of an unknown kind: 20 or more characters of the usual alphabets.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Matches folded into one array at a time.
+FOLD = 64
 KINDS = ("assign", "access", "hex", "owned")
 
 
@@ -24,16 +26,21 @@ def _spans(text, pattern: str, kind: int, holds=None) -> F.Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern)
-    step = F.aggregate(
-        F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("found")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
+    span = "array<struct<start:int,kind:int,end:int,found:string>>"
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m")))
+    # Folded block by block: an array that grows one by one would be copied as often as there are matches.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLD).cast("int")), lambda b: F.slice(pairs, b * FOLD + 1, F.lit(FOLD)))
+
+    def put(acc, x):
+        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["m"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("found")))).alias("out"))
+
+    def block(acc, x):
+        inner = F.aggregate(x, F.struct(acc["at"].alias("at"), F.array().cast(span).alias("out")), put)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    step = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
+    none = F.array().cast(span)
     spans = F.when(text.rlike(pattern), step).otherwise(none)
     return F.filter(spans, holds) if holds else spans
 
@@ -52,7 +59,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or max_repos repositories is a copied example ('example'), any other one 'live'. Base spans stay with either verdict;
     live-looking tokens outside base spans are added only when owned.
 
-    Hot values are counted per (value, owner, repository) first, so no value is gathered in one task. Null text is empty.
+    Hot values are counted per (value, owner, repository) first and meet their counts by matched(), so no value is gathered
+    in one task. Null text is empty.
     Repeated rows give one result each. Null owners or repositories count as one of their own. An empty table gives an empty
     result. Other columns of docs are not read.
     """
@@ -83,9 +91,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     each = base.where(F.size("spans") > 0).select("id", "owner", "repo", "row", F.explode("spans").alias("s"))
     owners = each.select(F.col("s.value").alias("value"), "owner", "repo").distinct().groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    freq = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    freq = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).join(each.groupBy(F.col("s.value").alias("value")).agg(F.count("*").alias("n")), "value")
     judged = (
-        each.join(freq, F.col("s.value") == F.col("value"))
+        matched(each.withColumn("value", F.col("s.value")), freq, ["value"], "n", each.count())
         .select("id", "row", F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), "example").otherwise("live").alias("verdict")).alias("s"))
         .where("s.kind < 3 or s.verdict = 'live'")
         .groupBy("id", "row")

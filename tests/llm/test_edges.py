@@ -50,13 +50,37 @@ def test_packing_is_exact_on_odd_text():
         assert list(array("I", enc(t))) == exact.encode(t, add_special_tokens=False).ids, repr(t[:40])
 
 
+def test_exchanges_empty_a_sequence_that_best_fit_leaves(spark):
+    """Six texts of 5, 2, 13, 14, 4 and 2 tokens: best fit leaves three sequences of 20 tokens, an exchange makes it two."""
+    sizes = [5, 2, 13, 14, 4, 2]
+    assert len(packing.best_fit(sizes, 20)) == 3
+    docs = spark.createDataFrame([(i, " ".join(["the"] * (n - 1))) for i, n in enumerate(sizes)], "doc_id long, text string")
+    rows = packing.pack(docs, q.tokenizer_path(), capacity=20).collect()
+    assert sorted(r["length"] for r in rows) == sorted(sizes) and len({r["sequence_id"] for r in rows}) == 2
+
+
+def test_local_search_takes_two_for_one_from_full_bins_of_small_texts():
+    """Bins of many small texts: every pair of sizes is tried, whatever the number of texts."""
+    sizes = [1] * 40 + [30] + [29, 30]
+    bins = packing.local_search([list(range(40)), [40], [41, 42]], sizes, 60)
+    assert sorted(i for b in bins for i in b) == list(range(43)) and len(bins) == packing.least_bins(sizes, 60) == 3
+    at = packing._step([0, 1, 2], [3, 4], 9, 8, [5, 3, 1, 4, 4], 10)
+    assert at is not None and at[0] and sum([5, 3, 1, 4, 4][i] for i in at[0]) - sum([5, 3, 1, 4, 4][i] for i in at[1]) == 2
+
+
+def test_token_memory_is_bounded_by_characters():
+    enc = packing.Encoder(q.tokenizer_path())
+    enc("a " + "漢字" * 500_000 + " b")
+    assert all(len(k) <= packing.LONGEST for k in enc.seen) and enc.held <= packing.CACHE
+
+
 def test_local_search_never_loses_items():
     import random
 
     r = random.Random(5)
     sizes = [r.randint(1, 100) for _ in range(400)]
     start = [[i] for i in range(400)]
-    bins = packing.local_search(start, sizes, 100, rounds=50)
+    bins = packing.local_search(start, sizes, 100)
     assert sorted(i for b in bins for i in b) == list(range(400))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins) and len(bins) < 400
     fit = packing.local_search(packing.best_fit(sizes, 100), sizes, 100)
@@ -265,6 +289,36 @@ def test_secrets(docs):
     assert (got[13]["n_assign"], got[13]["n_hex"], got[4]["n_hex"]) == (1, 1, 0) and [s["verdict"] for s in got[13]["spans"]] == ["live", "live"]
 
 
+def test_secrets_in_a_text_with_very_many(spark):
+    """Thousands of matches in one text keep their places, across the blocks of the fold."""
+    import re
+
+    text = "é " + " ".join(f"password={i:08d} x" for i in range(3000))
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"password=\d+", text)]
+    assert got["n_assign"] == 3000 and [(s["start"], s["end"]) for s in got["spans"] if s["kind"] == 0] == want
+
+
+def test_near_copies_under_one_id(spark):
+    """Rows of one id with different texts are one document, whichever partition they come from."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (3, a), (9, b), (5, c), (8, None), (8, c)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {(r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+        assert got == {(7, 3, 36, False), (3, 3, 36, True), (9, 3, 36, False), (5, 5, 36, True), (8, 5, 0, False), (8, 5, 36, False)}
+
+
+def test_leaks_of_very_long_items(spark):
+    """An item of 3,000 words, a fifth of a percent of them edited, in a longer text; the windows are embedded a few at a time."""
+    words = [f"w{i * 7919 % 10_007}" for i in range(3000)]
+    edited = [w if i % 500 else "other" for i, w in enumerate(words)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x y " + " ".join(edited) + " z"), (2, " ".join(words[:1500]))], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["item_id"], x["edits"]) for x in r["leaks"]] for r in decontaminate.find_leaks(df, bench, keep=["doc_id"]).collect()}
+    assert got == {1: [(1, 6)], 2: []}
+
+
 def test_secret_ownership(spark):
     own, copied = "kQ3vX9zT1mB7cR5wN2yL", "Zp8Yt6Rw4Qe2Us0Io1Ka"
     rows = [(i, f"key {copied} here", f"s{i % 5}") for i in range(10)] + [(20, f"é key {own} here", "s1"), (21, "plainwordswithoutdigitsatall", "s1")]
