@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Shared, beside
-from .words import MULT, WordHasher, mix
+from .words import MULT, WordHasher, distinct, mix
 
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
 #: Words of windows embedded at once in a worker, and windows at most.
@@ -175,7 +175,7 @@ class Finder:
             first, last = hits[: len(hits) - least + 1], hits[least - 1 :]
             ok = (last - first < n) & (whose[first] == whose[last])
             spans = [np.arange(max(z - n + 1, starts[whose[a]]), a + 1) for a, z in zip(first[ok].tolist(), last[ok].tolist())]
-            near = np.unique(np.concatenate(spans)) if spans else np.empty(0, np.int64)
+            near = distinct(np.concatenate(spans)) if spans else np.empty(0, np.int64)
             met: dict[tuple[int, int], set[int]] = {}
             size = max(1, min(BATCH, BATCH_WORDS // n))
             for lo in range(0, len(near), size):

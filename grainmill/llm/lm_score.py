@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Buckets, crc_mod
-from .words import MULT, WordHasher, mix
+from .words import MULT, WordHasher, distinct, mix
 
 #: The end of a text as a token: no word hashes to it but by accident.
 END = np.uint64(0x656E64)
@@ -114,7 +114,7 @@ def unpacked_bits(blob: bytes) -> np.ndarray:
 def _counts(keys: list[np.ndarray], learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and how often each is at a place to learn from. Key 0 is none."""
     k, c = np.unique(np.concatenate([x[learnt & (x != 0)] for x in keys]), return_counts=True)
-    other = np.unique(np.concatenate([x[~learnt & (x != 0)] for x in keys]))
+    other = distinct(np.concatenate([x[~learnt & (x != 0)] for x in keys]))
     other = other[Index(k)(other) < 0]
     every = np.concatenate([k, other])
     by = np.argsort(every, kind="stable")
@@ -193,7 +193,7 @@ class Group:
                 continue
             a, kept = join(n, unpacked, "a").astype(np.int64), np.concatenate([unpacked_bits(r["keys"]) for r in self.rounds[n]])
             sent = self.keys[:2] if n == 2 else [self.keys[n - 1][self.asked(n, least)]]
-            sent = np.unique(np.concatenate(sent))
+            sent = distinct(np.concatenate(sent))
             self.known[n] = (sent[sent != 0][kept], a >> 1, (a & 1).astype(bool))
 
     def places(self, n: int, least: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, dropped, matched, staged
-from .words import MULT, WordHasher, mix
+from .words import MULT, WordHasher, distinct, mix
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -25,7 +25,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     out = words[: n - width + 1].copy()
     for k in range(1, width):
         out = mix(out * MULT + words[k : n - width + 1 + k])
-    return np.unique(mix(out + np.uint64(width)))
+    return distinct(mix(out + np.uint64(width)))
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
