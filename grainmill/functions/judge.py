@@ -9,7 +9,8 @@ from .text import _c, trim_ws
 
 # Fixed value: an answer cut off inside its reason, from which the score can still be read.
 PARTIAL = r'\A\s*\{\s*"score"\s*:\s*([0-4])\s*,\s*"reason"\s*:\s*"'
-RECOVERED = "The reason is incomplete; the first answer and the retry agree on the score."
+# Fixed value: the reason that stands for one that was cut off.
+RECOVERED = "Judge explanation incomplete; score recovered from matching initial and retry outputs."
 
 
 def parse_judge(output) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 INLINE = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+#: The same white space as single characters, and the line breaks of one character.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BREAK_CHARS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 #: Words, and each other sign that is not white space.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # What counts as an answer that abstains.
@@ -29,7 +32,7 @@ def _c(c) -> Column:
 
 def trim_ws(c) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(_c(c), rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def squeeze_ws(c) -> Column:
@@ -38,24 +41,21 @@ def squeeze_ws(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    return F.coalesce(trim_ws(c) == "", F.lit(True))
+    """Null, or nothing but white space; reads no further than the first other character."""
+    return ~F.coalesce(_c(c).rlike(WS.replace("[", "[^", 1)), F.lit(False))
 
 
 def clean_text(c) -> Column:
     """Null to '', written-out \\n to a line break, line breaks alike, blanks in a line squeezed, at most one empty line."""
     x = F.coalesce(_c(c).cast("string"), F.lit(""))
     x = F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\r\n"), F.lit("\n"))
-    x = F.regexp_replace(trim_ws(x), BREAK, "\n")
-    x = F.regexp_replace(x, r"[ \t]+", " ")
-    x = F.regexp_replace(x, rf"(?<=\n|\A){INLINE}+|{INLINE}+(?=\n|\z)", "")
+    # A carriage return before one that was just taken is part of a pair again; the others are breaks of their own.
+    x = F.translate(F.replace(trim_ws(x), F.lit("\r\n"), F.lit("\n")), BREAK_CHARS + "\t", "\n" * len(BREAK_CHARS) + " ")
+    x = F.regexp_replace(x, " {2,}", " ")
+    x = F.regexp_replace(x, rf"{INLINE}+\n{INLINE}*|\n{INLINE}+", "\n")
     return trim_ws(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
-def fold(c) -> Column:
-    """Case folding for the usual Latin and Greek text: lower case, sharp s as ss, final sigma as sigma."""
-    return F.replace(F.replace(F.lower(_c(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-
-
 @functools.cache
 def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """The code points whose full case folding differs from themselves: one to one, and one to many."""
@@ -67,18 +67,25 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def casefold(c) -> Column:
-    """Full Unicode case folding. A text of ASCII takes the short way."""
+    """Full Unicode case folding. Texts of ASCII, and those whose only character that folds to several is the sharp s, take
+    shorter ways."""
     x = _c(c)
     source, target, many = _folding()
-    full = F.translate(x, source, target)
+    usual = F.replace(F.translate(x, source, target), F.lit("ß"), F.lit("ss"))
+    full = usual
     for a, b in many:
-        full = F.replace(full, F.lit(a), F.lit(b))
-    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(full)
+        if a != "ß":
+            full = F.replace(full, F.lit(a), F.lit(b))
+    odd = x.rlike("[" + "".join(a for a, _ in many if a != "ß") + "]")
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(odd, full).otherwise(usual)
+
+
+fold = casefold
 
 
-def text_key(c, exact: bool = False) -> Column:
-    """The key by which texts count as the same: cleaned, case-folded (exact: fully), white space squeezed."""
-    return squeeze_ws((casefold if exact else fold)(clean_text(c)))
+def text_key(c) -> Column:
+    """The key by which texts count as the same: cleaned, case-folded, white space squeezed."""
+    return squeeze_ws(casefold(clean_text(c)))
 
 
 def join_question(title, body) -> Column:

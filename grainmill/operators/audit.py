@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,9 +93,16 @@ def table_fingerprint(df: DataFrame, cols: list[str]) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(cols[0]).alias("k"), row.alias("h")))), lambda x: x["h"]), ""), 256)
 
 
-def content_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row for a table of any size: rows, and an order-free digest (two sums of 64-bit row hashes), by partial aggregation."""
+def content_sums(cols: list[str]) -> list[Column]:
+    """Aggregates that add up over parts of a table: rows, and two sums of 64-bit row hashes."""
     h = lambda seed: F.xxhash64(F.lit(seed), *cols).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.sum(h(1)).cast("string").alias("d1"), F.sum(h(2)).cast("string").alias("d2")).select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "d1", "d2"), 256).alias("digest"))
+    return [F.count(F.lit(1)).alias("rows"), F.sum(h(1)).cast("string").alias("d1"), F.sum(h(2)).cast("string").alias("d2")]
+
 
+def sums_digest(rows: int, d1: str | int, d2: str | int) -> str:
+    return hashlib.sha256(f"{rows}:{d1}:{d2}".encode()).hexdigest()
 
+
+def content_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row for a table of any size: rows, and an order-free digest, by partial aggregation."""
+    return df.agg(*content_sums(cols)).select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "d1", "d2"), 256).alias("digest"))

@@ -7,13 +7,16 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import _c, fold, is_blank, text_key, trim_ws, word_count
+from ..functions.text import _c, fold, is_blank, squeeze_ws, text_key, trim_ws, word_count
 from .audit import first_match
 from .select import cap_per_key, first_per_key
 
 #: Removal rules by name, in order: the first that holds is the reason. Phrases are case-folded.
 REFUSALS = ("i can only help with", "outside my area", "cannot help with that topic")
 BYPASS = ("disable the firewall", "turn off antivirus", "bypass security")
+#: Left-overs of templates, and whole answers that say nothing.
+ARTIFACTS = ("{{", "lorem ipsum", "[insert")
+GENERIC = ("it depends.", "please contact support.", "see the documentation.")
 #: Topics by keyword, in order; the first match wins.
 TOPICS = {
     "network": ("vpn", "network", "wifi", "router", "dns"),
@@ -22,6 +25,17 @@ TOPICS = {
     "security": ("password", "token", "login", "secret"),
     "storage": ("disk", "backup", "storage", "file"),
     "hardware": ("driver", "printer", "laptop", "screen"),
+    "meetings": ("teams", "meeting", "call"),
+    "office": ("excel", "word document", "spreadsheet", "powerpoint"),
+    "operating_system": ("windows", "registry", "boot"),
+    "unix": ("linux", "ubuntu", "bash"),
+    "cloud": ("cloud", "server", "virtual machine"),
+    "developer_tools": ("git", "compiler", "ide "),
+    "enterprise": ("sap", "crm", "erp"),
+    "performance": ("slow", "performance", "memory"),
+    "software": ("install", "software", "update"),
+    "identity": ("who are you", "your name"),
+    "recovery": ("restore", "recover"),
 }
 
 
@@ -40,6 +54,8 @@ def removal_rules(response, labels: tuple[str, ...] = (), aliases: tuple[str, ..
         ("refusal", any_phrase(x, REFUSALS)),
         ("persona", functools.reduce(lambda a, b: a | b, (x.contains(a) for a in aliases), F.lit(False))),
         ("security_bypass", any_phrase(x, BYPASS)),
+        ("artifact", any_phrase(x, ARTIFACTS)),
+        ("generic", squeeze_ws(fold(x)).isin(*GENERIC)),
         ("noise", odd > noise_share * F.length(x)),
     ]
 
@@ -66,11 +82,10 @@ def curate(df: DataFrame, id_col: str, prompt: str, response: str, response_cap:
     """Records that pass the removal rules, one for each prompt and response, one for each prompt, at most response_cap for each
     response and identity_cap with identity in all; the first by id stay."""
     reason = first_match(removal_rules(response, **rules))
-    kept = df.where(reason.isNull())
-    p, r = text_key(prompt), text_key(response)
-    kept = first_per_key(kept, [p, r], id_col)
-    kept = first_per_key(kept, [p], id_col)
-    kept = cap_per_key(kept, [r], response_cap, [F.col(id_col)])
+    keyed = df.where(reason.isNull()).withColumns({"_p": text_key(prompt), "_r": text_key(response)})
+    # One aggregation for both: the first row of a prompt is the first of its prompt and response as well.
+    kept = first_per_key(keyed, [F.col("_p")], id_col)
+    kept = cap_per_key(kept, [F.col("_r")], response_cap, [F.col(id_col)]).drop("_p", "_r")
     if identity is not None:
         own = kept.where(F.coalesce(identity, F.lit(False))).orderBy(id_col).limit(identity_cap)
         kept = kept.where(~F.coalesce(identity, F.lit(False))).unionByName(own)

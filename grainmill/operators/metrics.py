@@ -20,12 +20,16 @@ def masked_pairs(df: DataFrame, left: str, right: str, scorer, default: float =
     return F.when(~is_blank(left) & ~is_blank(right), scorer(F.col(left), F.col(right))).otherwise(F.lit(default))
 
 
-def summary(df: DataFrame, rouge: Column, judge: Column, abstained: Column, retried: Column | None = None, recovered: Column | None = None, by: list[str] | None = None) -> DataFrame:
-    """Means and rates: rows, mean_rouge_l, mean_judge, judge_percent (of 4), abstention_percent, retries and recoveries."""
+def summary(df: DataFrame, rouge: Column, judge: Column, abstained: Column, retried: Column | None = None, recovered: Column | None = None, by: list[str] | None = None, match: Column | None = None) -> DataFrame:
+    """Means and rates: rows, mean_rouge_l, mean_match (of vector matching, if given), mean_judge, judge_percent (of 4),
+    abstention_percent, retries and recoveries. An empty benchmark has no means and is an error."""
+    if df.isEmpty():
+        raise ValueError("An empty benchmark has no metrics")
     no = F.lit(False)
     out = [
         F.count("*").alias("n"),
         F.round(F.avg(rouge), 6).alias("mean_rouge_l"),
+        *([F.round(F.avg(match), 6).alias("mean_match")] if match is not None else []),
         F.round(F.avg(judge), 6).alias("mean_judge"),
         F.round(F.avg(judge) / 4 * 100, 6).alias("judge_percent"),
         F.round(F.avg(abstained.cast("int")) * 100, 6).alias("abstention_percent"),

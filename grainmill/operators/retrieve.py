@@ -9,40 +9,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, token_count, trim_ws
+from ..functions.text import is_blank, squeeze_ws, token_count, trim_ws
 
-#: Queries that go to the workers together; more are taken in blocks, one pass over the vectors each.
-QUERY_BLOCK = 4_096
+#: Queries that go to the workers together (more are taken in blocks, one pass over the vectors each), and vectors scored at once.
+QUERY_BLOCK, TILE = 1_024, 4_096
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, where: Column | None = None, query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, vector_id, score, rank): the k nearest vectors of each query by cosine, ties by vector id.
 
-    `where` filters the vectors before ranking. Each partition of vectors is multiplied with a block of queries and keeps k
-    rows for each query, so what is shuffled is k rows for each query and partition, and no pair is materialised.
+    Ids are strings or whole numbers and keep their kind. `where` filters the vectors before ranking. Each partition of vectors
+    is multiplied with a block of queries, a tile at a time, and keeps k rows for each query, so what is shuffled is k rows for
+    each query and partition, and no pair is materialised.
     """
     if k < 1:
         raise ValueError("top_k must be positive")
-    kept = (vectors.where(where) if where is not None else vectors).select(F.col(vector_id).cast("long").alias("v"), F.col(embedding).alias("e")).where("e is not null")
+
+    def named(df: DataFrame, col: str, new: str) -> DataFrame:
+        kind = "string" if dict(df.dtypes)[col] == "string" else "long"
+        return df.select(F.col(col).cast(kind).alias(new), F.col(embedding).alias("e")).where(F.col("e").isNotNull() & F.col(new).isNotNull())
+
+    kept, asked = named(vectors.where(where) if where is not None else vectors, vector_id, "v"), named(queries, query_id, "q")
+    q_kind, v_kind = dict(asked.dtypes)["q"], dict(kept.dtypes)["v"]
     found, block = None, []
 
-    def scanned(ids: list[int], q: np.ndarray) -> DataFrame:
+    def best(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.lexsort((v, -s, q))
+        q, v, s = q[by], v[by], s[by]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[top], v[top], s[top]
+
+    def scanned(ids: list, x: np.ndarray) -> DataFrame:
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s, best_v = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+            held = None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.concatenate([best_s, np.round(q @ (x / np.where(n == 0, 1, n)).T, 12)], axis=1)
-                v = np.concatenate([best_v, np.tile(batch.column(0).to_numpy(), (len(ids), 1))], axis=1)
-                order = np.lexsort((v, -s))[:, :k]
-                best_s, best_v = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
-            m = best_s.shape[1]
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), m)), pa.array(best_v.ravel()), pa.array(best_s.ravel())], names=["q", "v", "s"])
-
-        return kept.mapInArrow(nearest, "q long, v long, s double")
+                for at in range(0, batch.num_rows, TILE):
+                    part = batch.slice(at, TILE)
+                    y = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    n = np.linalg.norm(y, axis=1, keepdims=True)
+                    s = np.round(x @ (y / np.where(n == 0, 1, n)).T, 12)
+                    least = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else s.min(1, keepdims=True)
+                    q, c = np.nonzero(s >= least)
+                    own = (q, np.array(part.column(0).to_pylist())[c], s[q, c])
+                    held = best(*own) if held is None else best(*(np.concatenate(z) for z in zip(held, own)))
+            if held is not None:
+                q, v, s = held
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), pa.array(v.tolist()), pa.array(s)], names=["q", "v", "s"])
+
+        return kept.mapInArrow(nearest, f"q {q_kind}, v {v_kind}, s double")
 
     def flush(found: DataFrame | None) -> DataFrame:
         x = np.array([e for _, e in block], np.float64)
@@ -51,19 +65,26 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, where: Column | No
         block.clear()
         return part if found is None else found.unionByName(part)
 
-    for row in queries.select(F.col(query_id).cast("long").alias("q"), F.col(embedding).alias("e")).where("e is not null").toLocalIterator():
+    for row in asked.toLocalIterator():
         block.append((row["q"], row["e"]))
         if len(block) == QUERY_BLOCK:
             found = flush(found)
     if block:
         found = flush(found)
     if found is None:
-        found = kept.select(F.col("v").alias("q"), "v", F.lit(0.0).alias("s")).limit(0)
+        found = kept.select(F.lit(None).cast(q_kind).alias("q"), "v", F.lit(0.0).alias("s")).limit(0)
     w = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("q").alias(query_id), F.col("v").alias(vector_id), F.col("s").alias("score"), "rank")
 
 
+def of_source(vectors: DataFrame, source: str | None, known: tuple[str, ...]) -> DataFrame:
+    """The vectors of a source, all without one; a source that is not known is an error, not an empty result."""
+    if source is not None and source not in known:
+        raise ValueError(f"Unknown source {source!r}")
+    return vectors if source is None else vectors.where(F.col("source") == source)
+
+
 def pack_context(ranked: DataFrame, question: str, passages: dict[str, str], max_context: int = 1200, max_input: int = 4096, overhead: int = 0) -> DataFrame:
     """Pack the records of each question, in rank order, into its context; a record that does not fit is skipped and later,
     smaller ones are still tried.
@@ -97,11 +118,54 @@ def pack_context(ranked: DataFrame, question: str, passages: dict[str, str], max
     return out.select(question, F.col("r.context").alias("context"), F.col("r.used").alias("used"), F.col("r.skipped").alias("skipped"), F.col("r.n").alias("context_tokens"), (F.col("r.n") + asked).alias("input_tokens"), (asked > max_input).alias("over_budget"))
 
 
+def pack_with_tokenizer(ranked: DataFrame, question: str, passages: dict[str, str], load, max_context: int = 1200, max_input: int = 4096) -> DataFrame:
+    """pack_context() with a tokenizer that does not add up: every proposed context is counted whole, and so are its messages.
+
+    load() gives (count, count_messages) in a task: functions of a text and of (question, context) to a number of tokens. A
+    blank question, or one that alone exceeds max_input, stops the job: it is never cut. Returns the question column, context,
+    used, skipped, context_tokens and input_tokens; ids, sources and scores as strings, strings and doubles.
+    """
+    if max_context < 1 or max_input < 1:
+        raise ValueError("Budgets must be positive")
+    c = {k: F.col(v) for k, v in passages.items()}
+    item = F.struct(c["rank"].cast("long").alias("rank"), c["id"].cast("string").alias("id"), c["source"].alias("source"), c["score"].cast("double").alias("score"), c["label"].alias("label"), F.coalesce(c["text"], F.lit("")).alias("text"))
+    own = ranked.groupBy(question).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    used = pa.list_(pa.struct([("id", pa.string()), ("source", pa.string()), ("score", pa.float64()), ("citation", pa.int32())]))
+
+    def one(asked: str, items: list[dict], count, count_messages) -> tuple:
+        if not (asked or "").strip() or count_messages(asked, "") > max_input:
+            raise ValueError("a question is blank or exceeds the input budget")
+        context, took, left = "", [], []
+        for x in items:
+            more = f"{context}{chr(10) * 2 if context else ''}[{len(took) + 1}] {x['label']} ({x['id']})\n{x['text']}"
+            if count(more) > max_context or count_messages(asked, more) > max_input:
+                left.append(x["id"])
+            else:
+                context = more
+                took.append({"id": x["id"], "source": x["source"], "score": x["score"], "citation": len(took) + 1})
+        return context, took, left, count(context), count_messages(asked, context)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = None
+        for batch in batches:
+            tools = tools or load()
+            rows = [one(a, i, *tools) for a, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            context, took, left, n, m = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(context, pa.string()), pa.array(took, used), pa.array(left, pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=[question, "context", "used", "skipped", "context_tokens", "input_tokens"])
+
+    return own.mapInArrow(run, f"`{question}` string, context string, used array<struct<id:string,source:string,score:double,citation:int>>, skipped array<string>, context_tokens long, input_tokens long")
+
+
+def source_label(source) -> Column:
+    """The name under which a source is shown."""
+    return F.when(F.col(source) == "stackoverflow", "Stack Overflow").otherwise("IBM TechQA")
+
+
 def citations(retrieved: DataFrame, used: DataFrame, on: list[str], title: str, question: str) -> DataFrame:
     """retrieved with a label, [n] where the record is cited and [retrieved only] where not, and a display title."""
     made = retrieved.join(used.select(*on, "citation"), on, "left")
     shown = F.coalesce(F.nullif(trim_ws(F.col(title)), F.lit("")), F.col(question))
-    return made.withColumn("label", F.coalesce(F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("]")), F.lit("[retrieved only]"))).withColumn("shown", F.regexp_replace(shown, r"\s+", " "))
+    return made.withColumn("label", F.coalesce(F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("]")), F.lit("[retrieved only]"))).withColumn("shown", squeeze_ws(shown))
 
 
 def rag_prompt(context: Column, question: Column) -> Column:

@@ -25,10 +25,45 @@ def cap_per_key(df: DataFrame, keys: list[Column], most: int, order: list[Column
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
+def _limits(df: DataFrame, group: str, id_col: str, seed: int, quota: DataFrame) -> DataFrame:
+    """(_g, _cut, _last) for quotas (_g, _quota): the first _quota rows of a group by seeded hash are those whose hash prefix is
+    below _cut, and of those at _cut the ones up to _last.
+
+    Cuts come from counts of hash prefixes (65,536 for each group), so only the one bucket that each falls into is ranked.
+    """
+    h = seeded_hash(id_col, seed)
+    counts = df.groupBy(F.col(group).alias("_cg"), F.substring(h, 1, 4).alias("_b")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_cg").orderBy("_b"))).withColumn("all", F.sum("c").over(Window.partitionBy("_cg")))
+    at = upto.join(quota, F.col("_cg").eqNullSafe(F.col("_g")))
+    cut = at.groupBy("_g").agg(F.min(F.when(F.col("upto") >= F.col("_quota"), F.struct("_b", (F.col("_quota") - F.col("upto") + F.col("c")).alias("rank")))).alias("x"), F.first("_quota").alias("_quota"))
+    cut = cut.select("_g", F.when(F.col("_quota") <= 0, F.lit("")).otherwise(F.coalesce("x._b", F.lit("~"))).alias("_cut"), F.col("x.rank").alias("_rank"))
+    edge = _beside(df.select(F.col(group).alias("_eg"), F.col(id_col).alias("_id"), h.alias("_h")), "_eg", cut).where(F.substring("_h", 1, 4) == F.col("_cut"))
+    ranked = edge.withColumn("_n", F.row_number().over(Window.partitionBy("_eg").orderBy("_h", "_id"))).where(F.col("_n") == F.col("_rank"))
+    last = ranked.select(F.col("_eg"), F.struct("_h", "_id").alias("_last"))
+    return cut.join(last, F.col("_g").eqNullSafe(F.col("_eg")), "left").select("_g", "_cut", "_last")
+
+
+#: Groups whose numbers are broadcast; more are joined.
+FEW_GROUPS = 10_000
+
+
+def _beside(df: DataFrame, group: str, numbers: DataFrame) -> DataFrame:
+    """df with the columns of its group's row in numbers (_g, ...). The size is checked before it is broadcast."""
+    few = numbers.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return df.join(F.broadcast(numbers) if few else numbers, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def _inside(id_col: str, seed: int) -> Column:
+    h = seeded_hash(id_col, seed)
+    at = F.struct(h.alias("_h"), F.col(id_col).alias("_id"))
+    return F.when(F.substring(h, 1, 4) < F.col("_cut"), True).otherwise(F.coalesce((F.substring(h, 1, 4) == F.col("_cut")) & (at <= F.col("_last")), F.lit(False)))
+
+
 def round_robin(df: DataFrame, group: str, id_col: str, n: int, seed: int) -> DataFrame:
     """n rows dealt over the groups in turn: each gives its first row by seeded hash, then its second, and so on; ties by group.
 
-    Only the quota of each group is computed centrally (one number for each group); the rows follow by a group limit.
+    Only the quota of each group is computed centrally (one number for each group); its rows are found by hash prefix, and only
+    the n selected ones are numbered.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("c"))
     # With rounds 1, 2, ... a group of c rows takes part in the first c rounds; quotas follow from the sizes alone.
@@ -39,8 +74,9 @@ def round_robin(df: DataFrame, group: str, id_col: str, n: int, seed: int) -> Da
     level = F.floor((F.lit(n) - F.col("taken")) / F.greatest(F.col("open"), F.lit(1)))
     extra = F.row_number().over(Window.partitionBy("all").orderBy(group)) <= (F.lit(n) - F.col("taken")) - level * F.col("open")
     quota = rest.select(F.col(group).alias("_g"), F.when(F.col("all"), F.col("c")).otherwise(F.least(F.col("c"), level + extra.cast("long"))).alias("_quota"))
+    picked = _beside(df, group, _limits(df, group, id_col, seed, quota)).where(_inside(id_col, seed)).drop("_cut", "_last")
     w = Window.partitionBy(group).orderBy(seeded_hash(id_col, seed), F.col(id_col))
-    return df.withColumn("_n", F.row_number().over(w)).join(quota, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_n") <= F.col("_quota")).withColumn("round", F.col("_n")).drop("_n", "_g", "_quota")
+    return picked.withColumn("round", F.row_number().over(w))
 
 
 def largest_remainder(df: DataFrame, group: str, part: int) -> DataFrame:
@@ -56,10 +92,9 @@ def largest_remainder(df: DataFrame, group: str, part: int) -> DataFrame:
 
 def stratified_split(df: DataFrame, group: str, id_col: str, part: int, seed: int, names: tuple[str, str] = ("rest", "part")) -> DataFrame:
     """df with a column split: of each group its quota by largest remainder, in seeded order, is names[1], the others names[0]."""
-    quota = largest_remainder(df, group, part).select(F.col(group).alias("_g"), "quota")
-    w = Window.partitionBy(group).orderBy(seeded_hash(id_col, seed), F.col(id_col))
-    made = df.withColumn("_n", F.row_number().over(w)).join(quota, F.col(group).eqNullSafe(F.col("_g")))
-    return made.withColumn("split", F.when(F.col("_n") <= F.col("quota"), names[1]).otherwise(names[0])).drop("_n", "_g", "quota")
+    quota = largest_remainder(df, group, part).select(F.col(group).alias("_g"), F.col("quota").alias("_quota"))
+    made = _beside(df, group, _limits(df, group, id_col, seed, quota))
+    return made.withColumn("split", F.when(_inside(id_col, seed), names[1]).otherwise(names[0])).drop("_cut", "_last")
 
 
 def seeded_split(df: DataFrame, id_col: str, ratio: float, seed: int, names: tuple[str, str] = ("train", "validation")) -> DataFrame:

@@ -105,8 +105,33 @@ def over_length(df: DataFrame, tokens: Column, limit: int) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.max(tokens).alias("longest"), F.count_if(tokens > limit).alias("over"))
 
 
-def provenance_gate(manifest: dict, digests: dict[str, str]) -> None:
-    """Raise unless the manifest's audit passed, its digests equal those given, no two files are the same and no split overlaps."""
+def unique_keys(df: DataFrame, key: Column, name: str) -> None:
+    """Raise if a key occurs twice: as many distinct keys as rows."""
+    n, distinct = df.agg(F.count("*"), F.count_distinct(key)).first()
+    if n != distinct:
+        raise ValidationError(f"{name} repeats {n - distinct} prompts")
+
+
+def no_overlap(left: DataFrame, right: DataFrame, key: Column, names: tuple[str, str]) -> None:
+    """Raise, with their number, if the two sides share keys."""
+    from .audit import shared_keys
+
+    n = shared_keys(left, right, key).count()
+    if n:
+        raise ValidationError(f"{names[0]} and {names[1]} share {n} prompts")
+
+
+def template_rules(df: DataFrame, key: str, messages: str, rendered: str, foreign: str = "[INST]", rows: int = 3) -> DataFrame:
+    """(key, rule) for the first `rows` rows by key: a chat template must keep every content and hold no sign of another one."""
+    first = df.orderBy(key).limit(rows)
+    return violations(first, key, [("content_dropped", F.exists(messages, lambda m: ~F.contains(F.col(rendered), m["content"]))), ("foreign_template", F.contains(F.col(rendered), F.lit(foreign)))])
+
+
+def provenance_gate(manifest: dict, digests: dict[str, str], paths: dict[str, str] | None = None) -> None:
+    """Raise unless the manifest's audit passed, its digests equal those given, no two files are the same (by content, and by
+    path where paths are given) and no split overlaps."""
+    if paths and len(set(paths.values())) < len(paths):
+        raise ValidationError("The benchmark is a file to train or validate on")
     if manifest.get("audit", {}).get("passed") is not True:
         raise ValidationError("The audit did not pass")
     for name, digest in digests.items():

@@ -34,10 +34,14 @@ def evaluate(examples: DataFrame, store: StageStore, generate, judge, commit: in
     asked = examples.join(answers, "position")
     prompt = F.format_string(JUDGE, "question", F.when(F.col("reference").isNull(), "none").otherwise("given"), F.coalesce("reference", F.lit("No reference exists.")), "answer")
     first = _run_stage(store, "judge", asked.select("position", prompt.alias("prompt")), judge, commit).withColumnRenamed("value", "said")
-    bad = first.where(judge_or_recover("said", F.lit("")).isNull())
-    again = asked.join(bad.select("position"), "position", "left_semi").select("position", prompt.alias("prompt"))
-    retry = judge(again).withColumnRenamed("value", "retry")
-    decided = asked.join(first, "position").join(retry, "position", "left").withColumn("d", judge_or_recover("said", F.coalesce("retry", F.lit(""))))
+    todo = asked.join(first, "position").select("position", prompt.alias("prompt"), judge_or_recover("said", F.lit("")).isNull().alias("bad"))
+
+    def again(rows: DataFrame) -> DataFrame:
+        return rows.select("position").join(judge(rows.where("bad").select("position", "prompt")), "position", "left")
+
+    # Retries are a stage as well, null where none was needed, so a resumed run repeats no call.
+    retry = _run_stage(store, "retry", todo, again, commit).withColumnRenamed("value", "retry")
+    decided = asked.join(first, "position").join(retry, "position").withColumn("d", judge_or_recover("said", F.coalesce("retry", F.lit(""))))
     results = score_answers(decided, "answer", "reference").select("position", "id", "question", "reference", "answer", "rouge_l_f1", "abstained", F.col("d.score").alias("judge_score"), F.col("d.reason").alias("judge_reason"), F.col("d.recovered").alias("judge_recovered"), F.col("d.retried").alias("judge_retried"))
     if not results.where("judge_score is null").isEmpty():
         raise ValidationError("the judge's output can't be read")

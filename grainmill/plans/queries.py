@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,10 @@ def _clean(x: str) -> str:
 
 
 def _fold(x: str) -> str:
-    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+    source, target, many = text._folding()
+    one = f"replace(translate({x}, '{source}', '{target}'), 'ß', 'ss')"
+    full = functools.reduce(lambda y, m: f"replace({y}, '{m[0]}', '{m[1]}')", [m for m in many if m[0] != "ß"], one)
+    return f"case when regexp_matches({x}, '[{''.join(a for a, _ in many if a != 'ß')}]') then {full} else {one} end"
 
 
 def _key(x: str) -> str:
@@ -175,18 +180,39 @@ def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.token_count("text").alias("tokens"))
 
 
-@query()
+def _rouge(pairs: str) -> str:
+    """CTEs that end in rg(conv_id, turn, f1) for the pairs (conv_id, turn, a, b): the table of common subsequences of a against b, a
+    row of it for each token of b in turn."""
+    return f"""
+ tk as (select conv_id, turn, regexp_extract_all({_fold("coalesce(b, '')")}, '{_TOKEN}') p, regexp_extract_all({_fold("coalesce(a, '')")}, '{_TOKEN}') r from {pairs}),
+ tr as (select conv_id, turn, unnest(r) t, generate_subscripts(r, 1) j from tk), sz as (select conv_id, turn, p, len(p) m, len(r) n from tk),
+ lcs as (select 0 i, conv_id, turn, j, t, 0 v from tr union all
+  select i + 1, conv_id, turn, j, t, greatest(v, max(case when t = w then before + 1 else 0 end) over (partition by conv_id, turn order by j)) from
+  (select l.*, s.p[l.i + 1] w, coalesce(lag(l.v) over (partition by l.conv_id, l.turn order by l.j), 0) before from lcs l join sz s on s.conv_id = l.conv_id and s.turn = l.turn where l.i < s.m)),
+ top as (select l.conv_id, l.turn, max(l.v) v from lcs l join sz s on s.conv_id = l.conv_id and s.turn = l.turn and l.i = s.m group by all),
+ rg as (select s.conv_id, s.turn, case when coalesce(v, 0) = 0 then 0 else 2 * (v / m) * (v / n) / (v / m + v / n) end f1 from sz s left join top t on t.conv_id = s.conv_id and t.turn = s.turn)"""
+
+
+@query(f"with recursive pr as (select * from {_PAIRS} where b is not null), {_rouge('pr')} select conv_id, turn, round(f1, 6) rouge_l_f1 from rg")
 def rouge_l(spark, sf_dir):
     """ROUGE-L F1 of each turn against the next."""
     return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(overlap.rouge_l_f1("b", "a"), 6).alias("rouge_l_f1"))
 
 
-@query("select vec_id, round(list_sum(list_transform(x, lambda a: list_max(list_transform(y, lambda b: a * b)))) / 8, 6) \"precision\" from (select vec_id, embedding[1:8]::double[] x, embedding[9:16]::double[] y from embeddings)")
+_VECTORS = "list_transform(range(0, 8), lambda i: {}.embedding[8 * i + 1:8 * i + 8]::double[])"
+_BEST = "list_sum(list_transform({0}, lambda s: list_max(list_transform({1}, lambda t: list_dot_product(s, t))))) / 8"
+
+
+@query(
+    f"with v as (select l.vec_id, {_VECTORS.format('l')} x, {_VECTORS.format('r')} y from embeddings l join embeddings r on r.vec_id = l.vec_id + 1), "
+    f"b as (select vec_id, {_BEST.format('x', 'y')} p, {_BEST.format('y', 'x')} r from v) select vec_id, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 6) f1 from b"
+)
 def greedy_match(spark, sf_dir):
-    """Mean best match of one half of a vector's first numbers in the other, as token vectors of length one."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 9, 8).alias("y"))
-    best = F.transform("x", lambda a: F.array_max(F.transform("y", lambda b: a.cast("double") * b.cast("double"))))
-    return e.select("vec_id", F.round(F.aggregate(best, F.lit(0.0), lambda s, v: s + v) / 8, 6).alias("precision"))
+    """Greedy matching F1 of each vector with the next, cut whole into eight token vectors of eight numbers."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", cut.alias("x"))
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return both.select("vec_id", F.round(overlap.greedy_match_f1("x", "y"), 6).alias("f1"))
 
 
 _ANSWERS = [
@@ -204,23 +230,55 @@ def abstention(spark, sf_dir):
     return df.select("id", text.is_abstention("answer").alias("abstained"))
 
 
-_OUTPUTS = [
-    (1, '{"score": 3, "reason": " fine "}'), (2, 'Sure: {"score": 4, "reason": "ok"} done'), (3, '{"score": true, "reason": "x"}'), (4, '{"score": "3", "reason": "x"}'), (5, '{"score": 3.0, "reason": "x"}'),
-    (6, '{"score": 5, "reason": "x"}'), (7, '{"score": 2, "reason": 7}'), (8, '{"a": 1} {"score": 0, "reason": "second"}'), (9, '{"score": 1, "reason": "cut'), (10, "nothing"),
-]
+# A judge's outputs made of the turns: clean, inside other words, a score as text, out of range, cut off, or none.
+_SHORT = "left(regexp_replace(text, '[^a-z]', '', 'g'), 12)"
+_SAID = (
+    f"(select *, case turn % 6 when 0 then '{{\"score\": ' || length(text) % 5 || ', \"reason\": \"' || {_SHORT} || '\"}}' when 1 then 'Here: {{\"a\": 1}} {{\"score\": ' || length(text) % 5 || ', \"reason\": \" ' || {_SHORT} || ' \"}} done' "
+    f"when 2 then '{{\"score\": \"3\", \"reason\": \"' || {_SHORT} || '\"}}' when 3 then '{{\"score\": ' || length(text) % 9 || ', \"reason\": \"' || {_SHORT} || '\"}}' when 4 then '{{\"score\": ' || length(text) % 3 || ', \"reason\": \"' || {_SHORT} else 'none' end said from conversations)"
+)
+
 
+def _said(spark, sf_dir) -> DataFrame:
+    short = F.left(F.regexp_replace("text", "[^a-z]", ""), F.lit(12))
+    n = lambda k: (F.length("text") % k).cast("string")
+    kinds = [
+        ('{"score": %s, "reason": "%s"}', n(5)),
+        ('Here: {"a": 1} {"score": %s, "reason": " %s "} done', n(5)),
+        ('{"score": "%s", "reason": "%s"}', F.lit("3")),
+        ('{"score": %s, "reason": "%s"}', n(9)),
+        ('{"score": %s, "reason": "%s', n(3)),
+    ]
+    said = functools.reduce(lambda rest, k: F.when(F.col("turn") % 6 == k[0], F.format_string(k[1][0], k[1][1], short)).otherwise(rest), list(enumerate(kinds)), F.lit("none"))
+    return table(spark, sf_dir, "conversations").withColumn("said", said)
 
-@query()
+
+def _judged(x: str) -> str:
+    """Score and reason as a struct, of the first candidate that is an object with both."""
+    ok = "json_type(c::json) = 'OBJECT' and json_type(c::json, '$.score') in ('UBIGINT', 'BIGINT') and (c::json ->> '$.score')::int between 0 and 4 and json_type(c::json, '$.reason') = 'VARCHAR'"
+    reason = _trim("(c::json ->> '$.reason')")
+    return f"list_transform(list_filter([{x}] || regexp_extract_all({x}, '\\{{.*?\\}}', 0, 's'), lambda c: case when json_valid(c) then coalesce({ok}, false) else false end), lambda c: {{'score': (c::json ->> '$.score')::int, 'reason': {reason}}})[1]"
+
+
+_PART = r"""regexp_extract({0}, '^\s*\{{\s*"score"\s*:\s*([0-4])\s*,\s*"reason"\s*:\s*"', 1)"""
+
+
+@query(f"select conv_id, turn, coalesce(d.score, -1) score, coalesce(d.reason, '') reason, d is not null read from (select conv_id, turn, {_judged('said')} d from {_SAID})")
 def judge_parse(spark, sf_dir):
-    df = spark.createDataFrame(_OUTPUTS, "id long, output string").withColumn("d", judge.parse_judge("output"))
-    return df.select("id", F.col("d.score").alias("score"), F.col("d.reason").alias("reason"))
+    """Decisions read from outputs of every kind."""
+    df = _said(spark, sf_dir).withColumn("d", judge.parse_judge("said"))
+    return df.select("conv_id", "turn", F.coalesce("d.score", F.lit(-1)).alias("score"), F.coalesce("d.reason", F.lit("")).alias("reason"), F.col("d").isNotNull().alias("read"))
 
 
-@query()
+@query(
+    f"with s as {_SAID}, p as (select l.conv_id, l.turn, l.said x, r.said y from s l join s r on r.conv_id = l.conv_id), j as (select *, {_judged('x')} a, {_judged('y')} b, nullif({_PART.format('x')}, '') pa, nullif({_PART.format('y')}, '') pb from p), "
+    "o as (select conv_id, turn, coalesce(a.score, b.score, case when pa = pb then pa::int end) score, case when a is not null or b is not null then false when pa = pb then true end recovered, case when a is not null then false when b is not null or pa = pb then true end retried from j) "
+    "select conv_id, turn, coalesce(score, -1) score, coalesce(recovered, false) recovered, coalesce(retried, true) retried, count(*) n from o group by all"
+)
 def judge_recover(spark, sf_dir):
-    """Every output with every other as its retry."""
-    df = spark.createDataFrame([(a[0] * 100 + b[0], a[1], b[1]) for a in _OUTPUTS for b in _OUTPUTS], "id long, first string, retry string").withColumn("d", judge.judge_or_recover("first", "retry"))
-    return df.select("id", F.col("d.score").alias("score"), F.col("d.recovered").alias("recovered"), F.col("d.retried").alias("retried"))
+    """Every output with every other of its conversation as its retry."""
+    s = _said(spark, sf_dir).select("conv_id", "turn", "said")
+    d = s.join(s.select("conv_id", F.col("said").alias("retry")), "conv_id").withColumn("d", judge.judge_or_recover("said", "retry"))
+    return d.groupBy("conv_id", "turn", F.coalesce("d.score", F.lit(-1)).alias("score"), F.coalesce("d.recovered", F.lit(False)).alias("recovered"), F.coalesce("d.retried", F.lit(True)).alias("retried")).agg(F.count("*").alias("n"))
 
 
 # ---- deduplication, caps, selection, splits --------------------------------------------------------------------------
@@ -244,7 +302,8 @@ def response_cap(spark, sf_dir):
 
 
 @query("select doc_id, lang from documents qualify row_number() over (partition by lang order by doc_id) <= 8")
-def identity_cap(spark, sf_dir):
+def language_cap(spark, sf_dir):
+    """At most eight documents for each language."""
     return select.cap_per_key(table(spark, sf_dir, "documents"), [F.col("lang")], 8, [F.col("doc_id")]).select("doc_id", "lang")
 
 
@@ -304,11 +363,34 @@ def rewrite_flags(spark, sf_dir):
     return curate.rewrite(table(spark, sf_dir, "documents"), "text", _REWRITES).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-@query()
+_ALIASES = ("Èenai", "The th")
+
+
+def _curated() -> str:
+    """CTEs that end in cu(id, a, b): the pairs that the curation keeps, without the cap on identity."""
+    has = lambda x, words: "(" + " or ".join(f"contains({x}, '{w}')" for w in words) + ")"
+    squeezed = lambda x: _trim(f"regexp_replace({x}, '{_WS}+', ' ', 'g')")
+    return f"""
+ pr as (select conv_id * 10000 + turn id, a, b, {_trim('b')} tb, {_fold('b')} fb from {_PAIRS} where b is not null),
+ ok as (select id, a, b, {_key('a')} ka, {_key('b')} kb from pr where not (tb = '' or regexp_matches(tb, '^[a-z]+(?:_[a-z]+)+$') or len(string_split({squeezed('b')}, ' ')) < 3 or {has('fb', curate.REFUSALS)} or {has('b', _ALIASES)}
+  or {has('fb', curate.BYPASS)} or {has('fb', curate.ARTIFACTS)} or {squeezed('fb')} in {curate.GENERIC} or length(regexp_replace(b, '[\\p{{L}}\\p{{N}}\\p{{P}}\\s]', '', 'g')) > 0.2 * length(b))),
+ e1 as (select * from ok qualify row_number() over (partition by ka, kb order by id) = 1), e2 as (select * from e1 qualify row_number() over (partition by ka order by id) = 1),
+ cu as (select id, a, b from e2 qualify row_number() over (partition by kb order by id) <= 1)"""
+
+
+@query(f"with {_curated().strip()} select id, {_topic_sql('f')} topic from (select id, {_fold('a')} f from cu)")
 def curate_records(spark, sf_dir):
     """Adjacent turns as prompt and response, through rules, deduplication and caps."""
     pairs = _turn_pairs(spark, sf_dir).withColumn("id", F.col("conv_id") * 10_000 + F.col("turn"))
-    return curate.curate(pairs, "id", "a", "b", response_cap=1).select("id", curate.topic("a").alias("topic"))
+    return curate.curate(pairs, "id", "a", "b", response_cap=1, aliases=_ALIASES).select("id", curate.topic("a").alias("topic"))
+
+
+@query(f"with {_curated().strip()}, i as (select id, contains(b, 'é') own from cu) select id, own from i qualify not own or row_number() over (partition by own order by id) <= 8")
+def identity_cap(spark, sf_dir):
+    """The same with at most eight records in all that bear a mark of identity."""
+    pairs = _turn_pairs(spark, sf_dir).withColumn("id", F.col("conv_id") * 10_000 + F.col("turn"))
+    own = F.contains(F.col("b"), F.lit("é"))
+    return curate.curate(pairs, "id", "a", "b", response_cap=1, identity=own, identity_cap=8, aliases=_ALIASES).select("id", own.alias("own"))
 
 
 @query("select doc_id from documents join labels using (doc_id) where quality >= 1 and toxic >= 0")
@@ -342,10 +424,19 @@ def over_length(spark, sf_dir):
 # ---- audits and profiles ---------------------------------------------------------------------------------------------
 
 
-@query(f"select sha256(k) key from (select {_key('text')} k from documents where lang = 'en' intersect select {_key('text')} from documents where lang <> 'en' or doc_id % 2 = 0)")
+_SPLIT = "(select *, row_number() over (order by sha256('42:' || doc_id), doc_id) <= floor(0.1 * count(*) over ()) held from documents)"
+
+
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    d = select.seeded_split(table(spark, sf_dir, "documents"), "doc_id", 0.1, 42)
+    return d.where("split = 'train'").drop("split"), d.where("split = 'validation'").drop("split")
+
+
+@query(f"select sha256(k) key from (select {_key('text')} k from {_SPLIT} where not held intersect select {_key('text')} from {_SPLIT} where held)")
 def prompt_overlap(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return audit.shared_keys(d.where("lang = 'en'"), d.where("lang <> 'en' or doc_id % 2 = 0"), text.text_key("text")).select(F.sha2("key", 256).alias("key"))
+    """Texts that both sides of a seeded split hold."""
+    train, held = _halves(spark, sf_dir)
+    return audit.shared_keys(train, held, text.text_key("text")).select(F.sha2("key", 256).alias("key"))
 
 
 @query(f"with k as (select distinct {_key('text')} k, source from documents), s as (select distinct source from documents) select a.source a, b.source b, count(x.k) shared from s a join s b on a.source < b.source left join (select l.k, l.source ls, r.source rs from k l join k r on l.k = r.k and l.source < r.source) x on x.ls = a.source and x.rs = b.source group by 1, 2")
@@ -363,9 +454,10 @@ def benchmark_contained(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(F.broadcast(items), F.contains(F.col("text"), F.col("t"))).select("doc_id", "item_id")
 
 
-@query(f"select doc_id from documents where {_key('text')} in (select {_key('text')} from benchmark)")
+@query(f"select doc_id from {_SPLIT} where not held and {_key('text')} in (select {_key('text')} from {_SPLIT} where held)")
 def benchmark_overlap(spark, sf_dir):
-    return audit.exact_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id")
+    """Documents to train on whose text is that of a held-out one."""
+    return audit.exact_overlap(*_halves(spark, sf_dir)).select("doc_id")
 
 
 @query("with l as (select doc_id from documents except select doc_id from labels), r as (select doc_id from labels except select doc_id from documents) select (select count(*) from l) only_left, (select count(*) from r) only_right, (select count(*) from l) = 0 and (select count(*) from r) = 0 equal")
@@ -399,10 +491,20 @@ def label_frequency(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query("select lang, count(*) n, 0.5::double mean_rouge_l, round(avg(quality), 6) mean_judge, round(avg(quality) / 4 * 100, 6) judge_percent, round(avg(toxic) * 100, 6) abstention_percent, 0::bigint retries, count(*) filter (toxic = 1) recovered from documents join labels using (doc_id) group by lang")
+_NORMAL = _trim(f"regexp_replace(replace(f, '’', ''''), '{_WS}+', ' ', 'g')")
+_ABSTAINS = "(x = '' or " + " or ".join("regexp_matches(x, '" + p.replace("'", "''") + "')" for p in text.ABSTENTIONS) + ")"
+
+
+@query(
+    f"with recursive pr as (select p.*, s.role, s.said from {_PAIRS} p join {_SAID} s using (conv_id, turn) where b is not null), {_rouge('pr')}, "
+    f"x as (select conv_id, turn, {_NORMAL} x from (select conv_id, turn, {_fold('b')} f from pr)), j as (select pr.conv_id, pr.turn, role, {_judged('said')} d, {_ABSTAINS} abstained from pr join x on x.conv_id = pr.conv_id and x.turn = pr.turn) "
+    "select role, count(*) n, round(avg(f1), 6) mean_rouge_l, round(avg(d.score), 6) mean_judge, round(avg(d.score) / 4 * 100, 6) judge_percent, round(avg(abstained::int) * 100, 6) abstention_percent, count(*) filter (d is null) retries, 0::bigint recovered from j join rg using (conv_id, turn) group by role"
+)
 def metrics_summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return metrics.summary(d, F.lit(0.5), F.col("quality"), F.col("toxic") == 1, recovered=F.col("toxic") == 1, by=["lang"])
+    """Each turn's answer, the next turn, scored by ROUGE-L, abstention and a judge's output, by role."""
+    pairs = _turn_pairs(spark, sf_dir).join(_said(spark, sf_dir).select("conv_id", "turn", "role", "said"), ["conv_id", "turn"])
+    d = metrics.score_answers(pairs, "b", "a").withColumn("d", judge.parse_judge("said"))
+    return metrics.summary(d, F.col("rouge_l_f1"), F.col("d.score"), F.col("abstained"), retried=F.col("d").isNull(), by=["role"])
 
 
 @query("select conv_id, count(*) saved, min(turn) = 0 and max(turn) = count(*) - 1 and count(distinct turn) = count(*) contiguous from conversations group by conv_id")
@@ -444,3 +546,6 @@ def positional_join(spark, sf_dir):
     """Stage results joined by their explicit position."""
     answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), (F.col("text") != "").alias("answered"))
     return answers.join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "position"), "position").select("position", "answered", "quality", "toxic")
+
+
+from . import checks  # noqa: E402, F401  (registers its queries here)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
-from ..operators.audit import content_fingerprint
+from ..operators.audit import content_sums, sums_digest
 from .files import config_fingerprint, read_json, write_json
 
 
@@ -33,6 +33,17 @@ class VectorTable:
             raise FileNotFoundError(f"no vector table at {self.path}")
         return self.spark.read.parquet(f"{self.path}/records")
 
+    def sources(self) -> DataFrame:
+        """(source, n): what the table holds, by source."""
+        return self.read().groupBy("source").agg(F.count("*").alias("n"))
+
+    def check(self) -> int:
+        """The rows, if they are as many as the manifest says."""
+        n = self.count()
+        if n != self.manifest()["documents"]:
+            raise ValueError(f"the table has {n} rows, its manifest {self.manifest()['documents']}")
+        return n
+
     def count(self) -> int:
         return self.read().count()
 
@@ -48,13 +59,20 @@ class VectorTable:
             new = unindexed(new, self.read())
         vectors = embed(new.select("id", F.col("retrieval_text").alias("text"))).select("id", l2_normalize("embedding").cast("array<float>").alias("embedding"))
         rows = new.join(vectors, "id").select("id", "source", "embedding", F.sha2("retrieval_text", 256).alias("content_hash"), F.struct(*corpus.columns).alias("record"))
-        rows.write.mode("overwrite" if fresh else "append").partitionBy("source").parquet(f"{self.path}/records")
-        have = self.read()
-        print_ = content_fingerprint(have, ["id", "content_hash"]).first()
-        dims = have.select(F.size("embedding").alias("d")).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).first()
-        if dims["lo"] != dims["hi"]:
+        seen = Observation()
+        size = F.size("embedding")
+        rows.observe(seen, *content_sums(["id", "content_hash"]), F.min(size).alias("lo"), F.max(size).alias("hi")).write.mode("overwrite" if fresh else "append").partitionBy("source").parquet(f"{self.path}/records")
+        added = seen.get
+        old = {} if fresh else self.manifest()
+        sums = [int(added[k] or 0) + int(o) for k, o in zip(("rows", "d1", "d2"), old.get("sums", [0, 0, 0]))]
+        dims = {d for d in (added["lo"], added["hi"], old.get("embedding_dimension")) if d is not None}
+        if sums[0] != self.count():  # an earlier build was lost between its rows and its manifest
+            whole = self.read().agg(*content_sums(["id", "content_hash"]), F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+            sums, dims = [int(whole[k] or 0) for k in ("rows", "d1", "d2")], {whole["lo"], whole["hi"]}
+        if len(dims) > 1:
             raise ValueError("vectors of different lengths")
-        manifest = {"configuration": config, "documents": print_["rows"], "corpus_sha256": print_["digest"], "fingerprint": config_fingerprint({**config, "documents": print_["rows"], "corpus_sha256": print_["digest"]}), "embedding_dimension": dims["lo"]}
+        digest = sums_digest(*sums)
+        manifest = {"configuration": config, "documents": sums[0], "corpus_sha256": digest, "fingerprint": config_fingerprint({**config, "documents": sums[0], "corpus_sha256": digest}), "embedding_dimension": next(iter(dims), None), "sums": [str(x) for x in sums]}
         write_json(self.spark, manifest, f"{self.path}/manifest")
         return manifest
 
