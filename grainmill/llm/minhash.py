@@ -163,7 +163,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     texts = placed.hint("merge").join(src, placed["node"] == src["doc_id"]).select("component", "blocks", "block", "doc_id", "text")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tasks = texts.select("component", "block", "doc_id", "text", F.explode(other).alias("t")).select("component", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "block", "doc_id", "text")
-    links = staged(tasks.groupBy("component", "i", "j").applyInArrow(_verify(width, coordinates, least, percent), "a long, b long"), "links")
+    # More tasks than the bytes ask for: comparing takes far longer than reading.
+    spread = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = staged(tasks.repartition(spread, "component", "i", "j").groupBy("component", "i", "j").applyInArrow(_verify(width, coordinates, least, percent), "a long, b long"), "links")
     groups = components(links).select(F.col("node").alias("rep"), "component")
     dropped(postings, clusters, links)
 

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .quality_rules import RULES
-from .secrets import ACCESS, ASSIGN, CANDIDATE, HEX
+
+# Fixed values of the SQL's own, written out apart from the operators': metrics and cutoffs, and the patterns of secrets.
+RULES = {
+    "symbols_per_word": ("n_symbols", "n_words", [3.0 - 0.1 * i for i in range(29)]),
+    "repeated_word_share": ("n_repeat_words", "n_words", [1.0 - 0.025 * i for i in range(38)]),
+    "duplicate_line_share": ("n_dup_lines", "n_lines", [0.95 - 0.05 * i for i in range(18)]),
+    "chars_per_word": ("word_chars", "n_words", [16.0 - 0.5 * i for i in range(22)]),
+}
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS, HEX, CANDIDATE = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}", "[A-Za-z0-9+/_=-]{20,}"
 
 _LOWER = f"translate(%s, '{UPPER}', '{LOWER}')"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -63,11 +71,12 @@ with d as (select doc_id, case when lang in {strata} then lang else '' end strat
 ln as (select doc_id, count(*) n_lines, count(*) - count(distinct x) n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) x from d) where regexp_matches(x, '{word}') group by doc_id),
 g as (select doc_id, i, count(*) over (partition by doc_id, key) c from (select doc_id, unnest(range(1, len(w) - 1)) i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) key from d where len(w) > 2)),
 rp as (select doc_id, count(distinct pos) n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) pos from g where c > 1) group by doc_id),
-s as (select doc_id, stratum, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
+s as (select doc_id, stratum, t, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
  coalesce(n_lines, 0) n_lines, coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words from d left join ln using (doc_id) left join rp using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words failed from s), m as ({metric}),
 lb as (select doc_id, max(quality) good from labels where quality is not null group by doc_id), gr(rule, j, cut) as (values {grid}),
-h as (select stratum, m.rule, j, cut, count(*) filter (good = 1 and x > cut) k, count(*) filter (good = 1) n, count(*) filter (good = 0 and x > cut) bad from m join lb using (doc_id) join gr on gr.rule = m.rule where not failed group by all),
+tr as (select stratum, t, max(good) good, min(doc_id) doc_id from f join lb using (doc_id) where not failed group by stratum, t),
+h as (select m.stratum, m.rule, j, cut, count(*) filter (good = 1 and x > cut) k, count(*) filter (good = 1) n, count(*) filter (good = 0 and x > cut) bad from m join tr on tr.doc_id = m.doc_id join gr on gr.rule = m.rule group by all),
 ok as (select *, bad - {cost} * k gain, bool_and(n > 0 and {tail} <= {delta / tests!r}) over (partition by stratum, rule order by j) fine from h),
 c as (select stratum, rule, cut from ok where fine and gain > 0 qualify row_number() over (partition by stratum, rule order by gain desc, j) = 1),
 z as (select doc_id, string_agg(m.rule, ',' order by nth) reasons from m join c on c.rule = m.rule and c.stratum = m.stratum where not failed and x > cut group by doc_id)

@@ -46,8 +46,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            cols = zip(*map(text_stats, part.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "stratum", *STATS])
+            cols = zip(*map(text_stats, part.column(3).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "stratum", "same", *STATS])
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -93,22 +93,24 @@ def quality_rules(
     base_failed: under 50 words, or more than half of the words in repeated 3-word windows. The others meet RULES, whose
     cutoffs are selected for each stratum from all labelled documents (label_col 1 good, 0 bad) that pass the base; the
     metrics are fixed beforehand, so the labelled set serves as the holdout. With probability 1 - delta, in every stratum at
-    once, at most alpha of the good documents are rejected: each rule has alpha / rules, and delta is divided by rules times
+    once, at most alpha of the good texts are rejected (texts with several copies count once; near copies are not told apart): each rule has alpha / rules, and delta is divided by rules times
     strata (Bonferroni). Without enough labels no cutoff is certified and the rule rejects nothing.
 
     Strata are the values given and one more for all others, nulls included, so the collected counts have a fixed size.
-    Null text is empty and fails the base. A document with both labels counts as good. Repeated rows are judged alike; labels
+    Null text is empty and fails the base. A document with both labels counts as good, and so does a text of which any copy is. Repeated rows are judged alike; labels
     without a document or value are left out; an empty table gives an empty result; other columns are not read.
     """
     stratum = F.when(F.col(stratum_col).isin(*strata), F.col(stratum_col)).otherwise("")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), stratum.alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    stats = staged(src.mapInArrow(_stats, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in STATS)), "stats")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), stratum.alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", "stratum", F.xxhash64("text").alias("same"), "text")
+    stats = staged(src.mapInArrow(_stats, "doc_id long, stratum string, same long, " + ", ".join(f"{c} long" for c in STATS)), "stats")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     metric = {r: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) for r, (a, b, _) in RULES.items()}
 
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("good"))
     level = lambda r: F.size(F.filter(F.array(*(F.lit(c) for c in RULES[r][2])), lambda c: metric[r] <= c))
-    rows = stats.where(~failed).join(known, "doc_id").select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES))).alias("x"))
+    # Copies are one trial, not several: the bound is of independent ones.
+    trials = stats.where(~failed).join(known, "doc_id").groupBy("stratum", "same").agg(F.max("good").alias("good"), *(F.max(c).alias(c) for c in STATS))
+    rows = trials.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES))).alias("x"))
     hist = rows.groupBy("stratum", "good", "x.rule", "x.level").agg(F.count("*").alias("n")).collect()  # at most strata x 2 x rules x cutoffs
     tests = len(RULES) * (len(strata) + 1)
     cutoffs: dict[str, list] = {r: [] for r in RULES}

@@ -68,9 +68,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = chat_format.transcripts_of(table(spark, sf_dir, "conversations"))
     model = chat_format.train_parser(raw.where(crc_mod("conv_id", 5) != 0))
     raw = raw.withColumn("roles", F.array_join(F.transform("turns", lambda t: t["role"]), "/"))
-    out = chat_format.parse_transcripts(raw, model, ["conv_id", "part", "roles"])
+    out = chat_format.parse_transcripts(raw, model, ["conv_id", "part", "roles"], parts_of=("conv_id", "part"))
     found = F.array_join(F.transform("turns", lambda t: t["role"]), "/")
-    return out.select("conv_id", "part", (crc_mod("conv_id", 5) == 0).alias("held_out"), F.size("turns").cast("long").alias("n_turns"), found.alias("found_roles"), (found == F.col("roles")).alias("right"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    return out.select("conv_id", "part", (crc_mod("conv_id", 5) == 0).alias("held_out"), F.size("turns").cast("long").alias("n_turns"), found.alias("found_roles"), (found == F.col("roles")).alias("right"), F.sha2("rendered", 256).alias("rendered_sha256"), "continues")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,22 +150,27 @@ class Known:
     """Looks up known fragments: for each kind its sorted hashes; a fragment's code counts on from kind to kind."""
 
     def __init__(self, kinds: np.ndarray, hashes: np.ndarray):
-        self.by, at = [], 0
-        for kind in range(KINDS):
-            own = hashes[kinds == kind]
-            seen = np.zeros(1 << BITS, bool)
-            seen[(own >> np.uint64(64 - BITS)).astype(np.int64)] = True
-            self.by.append((own, seen, at))
-            at += len(own)
-        self.size = at
+        self.hashes, self.size = [hashes[kinds == kind] for kind in range(KINDS)], len(hashes)
+        self.by: list[tuple[np.ndarray, np.ndarray, int]] | None = None
+
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each kind its hashes, which leading bits they have, and the code of the first; made where they are used."""
+        if self.by is None:
+            self.by, at = [], 0
+            for own in self.hashes:
+                seen = np.zeros(1 << BITS, bool)
+                seen[(own >> np.uint64(64 - BITS)).astype(np.int64)] = True
+                self.by.append((own, seen, at))
+                at += len(own)
+        return self.by
 
     def __call__(self, fragments: Fragments, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (text, feature) of the texts."""
-        found, codes, words = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
+        found, codes, words, tables = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(texts), np.int64), self._tables()
         for kind, h, place, ends in fragments(texts):
             if kind == KINDS - 2:
                 words += np.bincount(np.searchsorted(ends, place, "right"), minlength=len(texts))
-            own, seen, base = self.by[kind]
+            own, seen, base = tables[kind]
             if not len(own):
                 continue
             near = np.nonzero(seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])[0]

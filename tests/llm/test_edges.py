@@ -428,3 +428,46 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
         now = spark.read.parquet(f"{tmp_path}/{name}")
     ids = {r["doc_id"] for r in now.collect()}
     assert 9 not in ids and 10 not in ids and {1, 2, 3, 4, None} <= ids
+
+
+def test_parts_are_parsed_as_one_transcript(spark):
+    """A long conversation in parts has the roles of a plain Viterbi over all its lines, wherever it is cut."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    rows = [(c, t, ("user", "assistant")[t % 2], "\n".join("w" * r.randrange(1, 60) + ("?" if r.random() < 0.3 else "") for _ in range(r.randint(1, 3)))) for c in range(4) for t in range(150 if c else 700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat_format.train_parser(chat_format.transcripts_of(df, chunk=10_000))
+
+    def plain(text):
+        f = chat_format.line_features(text.split("\n"))
+        e = model.emission(f)
+        best, back = model.start + e[0], []
+        for row in e[1:]:
+            back.append([max(range(6), key=lambda a, b=b: best[a] + model.step[a, b]) for b in range(6)])
+            best = np.array([best[back[-1][b]] + model.step[back[-1][b], b] + row[b] for b in range(6)])
+        out = [int(best.argmax())]
+        for b in reversed(back):
+            out.append(b[out[-1]])
+        return [chat_format.STATES[s] for s in out[::-1]]
+
+    whole = {x["conv_id"]: plain(x["transcript"]) for x in chat_format.transcripts_of(df, chunk=10_000).collect()}
+    for chunk in (7, 64, 256):
+        raw = chat_format.transcripts_of(df, chunk=chunk)
+        got = sorted(((x["conv_id"], x["part"]), x["turns"], x["continues"]) for x in chat_format.parse_transcripts(raw, model, ["conv_id", "part"], parts_of=("conv_id", "part")).collect())
+        for c, states in whole.items():
+            roles = []
+            for (conv, _), turns, continues in got:
+                if conv == c:
+                    roles += [t["role"] for t in turns][bool(continues) :]
+            assert roles == [role for role, part in states if part == "begin"]
+
+
+def test_rows_without_turn_numbers(spark):
+    df = spark.createDataFrame([(1, None, "user", f"text {i}") for i in range(50)] + [(1, 0, "user", "x"), (1, 1, "bot", None)], "conv_id long, turn long, role string, text string")
+    raw = chat_format.transcripts_of(df)
+    assert raw.where("part = 0").select(chat_format.F.size("turns")).first()[0] == 2 and raw.where("part < 0").count() > 20
+    out = chat_format.parse_transcripts(raw, chat_format.train_parser(raw), ["conv_id", "part"], parts_of=("conv_id", "part"))
+    assert out.count() == raw.count()
