@@ -106,3 +106,16 @@ def sums_digest(rows: int, d1: str | int, d2: str | int) -> str:
 def content_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row for a table of any size: rows, and an order-free digest, by partial aggregation."""
     return df.agg(*content_sums(cols)).select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "d1", "d2"), 256).alias("digest"))
+
+
+def contained(docs: DataFrame, items: DataFrame, text: str = "text", block_chars: int = 8_000_000) -> DataFrame:
+    """(doc columns but the text, item columns but t): documents that hold an item's text t to the letter.
+
+    Items are a stated set, compared with all documents in blocks of block_chars characters, which are broadcast; a pass over the
+    documents for each block.
+    """
+    keep = [c for c in docs.columns if c != text] + [c for c in items.columns if c != "t"]
+    size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_chars))
+    parts = [docs.join(F.broadcast(items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)), F.contains(F.col(text), F.col("t"))).select(*keep) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, parts)

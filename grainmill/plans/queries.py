@@ -447,11 +447,9 @@ def split_leakage(spark, sf_dir):
 
 @query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def benchmark_contained(spark, sf_dir):
-    """Documents that hold a benchmark text to the letter. The items are few and their size is checked before they are broadcast."""
+    """Documents that hold a benchmark text to the letter."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
-    if items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] > 32_000_000:
-        raise ValueError("too many benchmark items for one pass; call it with blocks of them")
-    return table(spark, sf_dir, "documents").join(F.broadcast(items), F.contains(F.col("text"), F.col("t"))).select("doc_id", "item_id")
+    return audit.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
 
 
 @query(f"select doc_id from {_SPLIT} where not held and {_key('text')} in (select {_key('text')} from {_SPLIT} where held)")
