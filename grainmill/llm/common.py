@@ -124,11 +124,12 @@ def crc_mod(c, n: int) -> F.Column:
 def matched(rows: DataFrame, entries: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """rows with the columns of their entry; entries are unique by `on`, and count says how many of the `total` rows each has.
 
-    An entry with a thousandth of the rows meets them by broadcast (there are a thousand of those at most), so that no key's
-    rows meet in one task; the others are joined by merge. Rows without an entry go, as do the columns count.
+    An entry with a thousandth of the rows or a little more meets them by broadcast (there are a thousand of those at most), so
+    that no key's rows meet in one task; the others are joined by merge. Rows without an entry go, as do the columns count.
     """
     more = [c for c in entries.columns if c not in on and c != count]
-    often = F.col(count) * 1000 >= max(total, 1)
+    # A power of two, so that plans of like inputs have the same code and the driver compiles it once.
+    often = F.col(count) * 1000 >= 1 << max(total - 1, 0).bit_length()
     hot = entries.where(often).select(*(F.col(c).alias(f"_{c}") for c in on), F.struct(*more, F.lit(1).alias("_")).alias("_hot"))
     met = functools.reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in on))
     some = rows.join(F.broadcast(hot), met, "left").drop(*(f"_{c}" for c in on))
