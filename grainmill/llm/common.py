@@ -121,6 +121,12 @@ def crc_mod(c, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % n
 
 
+def collected(spark: SparkSession) -> None:
+    """A garbage collection on the driver: what finished rounds have broadcast is released there and on executors only then, and
+    a driver of little memory fills up between two rounds."""
+    spark._jvm.System.gc()
+
+
 def matched(rows: DataFrame, entries: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """rows with the columns of their entry; entries are unique by `on`, and count says how many of the `total` rows each has.
 
@@ -163,6 +169,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         after = staged(star(star(now, True, seen[0]), False, seen[0]), "edges")
         dropped(now)
+        collected(now.sparkSession)
         now, before = after, seen
         seen = mark(now)
         if seen == before:

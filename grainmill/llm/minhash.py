@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, matched, staged
+from .common import collected, components, dropped, matched, staged
 from .words import MULT, WordHasher, distinct, mix
 
 
@@ -154,6 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     room = F.lit(prefix - coordinates) + F.size("p")  # postings that nobody shares are the rarest and use up the prefix first
     postings = staged(ranked.where(room > 0).select("doc_id", F.explode(F.slice("p", F.lit(1), room)).alias("x")).select("doc_id", "x.token"), "postings")
 
+    collected(docs.sparkSession)
     heads = postings.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
     stars = postings.join(heads, "token").select(F.col("doc_id").alias("a"), "b")
     clusters = components(stars)
@@ -163,8 +164,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, coordina
     texts = placed.hint("merge").join(src, placed["node"] == src["doc_id"]).select("component", "blocks", "block", "doc_id", "text")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tasks = texts.select("component", "block", "doc_id", "text", F.explode(other).alias("t")).select("component", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "block", "doc_id", "text")
-    # More tasks than the bytes ask for: comparing takes far longer than reading.
-    spread = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many tasks as the session asks for, not as few as the bytes would: comparing takes far longer than reading.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = staged(tasks.repartition(spread, "component", "i", "j").groupBy("component", "i", "j").applyInArrow(_verify(width, coordinates, least, percent), "a long, b long"), "links")
     groups = components(links).select(F.col("node").alias("rep"), "component")
     dropped(postings, clusters, links)
