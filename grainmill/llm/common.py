@@ -167,8 +167,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = staged(edges.where("a <> b").select("a", "b").distinct(), "edges")
     seen = mark(now)
     for _ in range(rounds):
-        after = staged(star(star(now, True, seen[0]), False, seen[0]), "edges")
-        dropped(now)
+        # A star reads its edges in several places: one plan of both would hold the large star once for each of them.
+        large = staged(star(now, True, seen[0]), "edges")
+        after = staged(star(large, False, seen[0]), "edges")
+        dropped(now, large)
         collected(now.sparkSession)
         now, before = after, seen
         seen = mark(now)

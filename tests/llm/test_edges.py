@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from grainmill.llm import chat_format, decontaminate, line_dedup, lm_score, minhash, packing, quality_rules, secrets, toxicity, url_filter
+from grainmill.llm import chat_format, common, decontaminate, line_dedup, lm_score, minhash, packing, quality_rules, secrets, toxicity, url_filter
 from grainmill.llm import queries as q
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
@@ -143,6 +143,21 @@ def test_near_duplicates_in_blocks(spark):
     assert 1 < len(set(comp)) < 120
 
 
+def test_components_by_small_plans(spark, monkeypatch):
+    """No round plans one star inside the other, which took the driver's memory; a chain, a star and a ring are closed all the same."""
+    real, joins = common.staged, []
+
+    def counted(df, name, by=None):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return real(df, name, by)
+
+    monkeypatch.setattr(common, "staged", counted)
+    chain, hub, ring = [(i, i + 1) for i in range(12)], [(100, 100 + k) for k in range(1, 40)], [(200, 201), (201, 202), (202, 200)]
+    got = common.components(spark.createDataFrame(chain + hub + ring, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(13)] + [(i, 100) for i in range(100, 140)] + [(i, 200) for i in range(200, 203)]
+    assert 0 < max(joins) <= 3
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "http://", "HTTP://EXAMPLE.COM/en/1", "https://a.example.com/en/", "http://www.example.com/en/x?y#z", "http://x.net/es/9", "ftp://h/" + "s/" * 5000, "http://x.net/es", "http://a.b?c://d/e"]
     df = spark.createDataFrame([(i, u, "?", "?") for i, u in enumerate(urls)] + [(4, urls[4], "?", "?")], "page_id long, url string, host string, seg string")
