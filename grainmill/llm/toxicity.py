@@ -69,16 +69,21 @@ class Fragments:
             end = self._gap(data, at)
             d = np.concatenate([[np.uint8(32)], data[at:end]])
             self._powers(len(d))
-            run, gap = np.concatenate([[np.uint64(0)], np.cumsum(self.value[d] * self.up[: len(d)])]), d == 32
+            run, gap = np.zeros(len(d) + 1, np.uint64), d == 32
+            run[1:] = self.value[d]
+            run[1:] *= self.up[: len(d)]
+            np.cumsum(run, out=run)
             for kind, n in enumerate(LENGTHS):
                 if kind not in kinds or len(d) < n:
                     continue
-                h, place = (run[n:] - run[:-n]) * self.down[: len(d) - n + 1], np.arange(at, at + len(d) - n + 1)
+                h, place = run[n:] - run[:-n], np.arange(at, at + len(d) - n + 1)
+                h *= self.down[: len(d) - n + 1]
                 if within:
                     gaps = np.cumsum(gap)
                     ok = gaps[n - 2 : len(d) - 1] == gaps[: len(d) - n + 1]
                     h, place = h[ok], place[ok]
                 yield kind, h, place, ends
+                del h, place  # before the next kind's arrays are made
             at, begin = end, at
             if KINDS - 1 not in kinds and KINDS - 2 not in kinds:
                 continue
@@ -132,12 +137,18 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (text, code) and how often each is there."""
-    by = np.lexsort((code, text))
-    text, code = text[by], code[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (text[1:] != text[:-1]) | (code[1:] != code[:-1])
+    size = int(code.max()) + 1 if len(code) else 1
+    return _counted_keys(text * size + code, size)
+
+
+def _counted_keys(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_counted() of pairs as text * size + code, which are sorted in place: hits are many, and copies of them take most of a
+    task's memory."""
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.nonzero(new)[0]
-    return text[at], code[at], np.diff(np.append(at, len(by)))
+    return *np.divmod(key[at], size), np.diff(np.append(at, len(key)))
 
 
 def levels_of(text: np.ndarray, code: np.ndarray, n: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,20 +177,22 @@ class Known:
 
     def __call__(self, fragments: Fragments, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (text, feature) of the texts."""
-        found, codes, words, tables = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(texts), np.int64), self._tables()
+        keys, words, tables = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64), self._tables()
         for kind, h, place, ends in fragments(texts):
             if kind == KINDS - 2:
                 words += np.bincount(np.searchsorted(ends, place, "right"), minlength=len(texts))
             own, seen, base = tables[kind]
             if not len(own):
                 continue
-            near = np.nonzero(seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])[0]
+            near = np.nonzero(seen[(h >> np.uint64(64 - BITS)).view(np.int64)])[0]
             at = np.searchsorted(own, h[near])
             at[at == len(own)] = 0
             hit = own[at] == h[near]
-            found.append(np.searchsorted(ends, place[near[hit]], "right"))
-            codes.append(at[hit] + base)
-        return levels_of(*_counted(np.concatenate(found), np.concatenate(codes)), words)
+            keys.append(np.searchsorted(ends, place[near[hit]], "right") * self.size + at[hit] + base)
+            del h, place, near, at, hit
+        key = np.concatenate(keys)
+        keys.clear()
+        return levels_of(*_counted_keys(key, self.size), words)
 
 
 def _document_counts(parts: int):
@@ -210,7 +223,7 @@ def _unlabelled_counts(known: Shared):
         know, fragments = known.get(), Fragments()
         total = np.zeros(know.size * LEVELS, np.int32)
         for part in _sliced(batches):
-            total += np.bincount(know(fragments, part.column(0))[1], minlength=len(total)).astype(np.int32)
+            np.add.at(total, know(fragments, part.column(0))[1], 1)  # in place: there are far more features than a slice has
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["u"])
 
     return run

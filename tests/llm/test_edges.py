@@ -217,6 +217,26 @@ def test_fragments_do_not_depend_on_blocks(monkeypatch):
         assert [sum(k == kind and d == t for k, _, d in whole) for kind in range(toxicity.KINDS)] == plain(text)
 
 
+def test_hits_of_known_fragments_are_counted_in_little_memory():
+    """Where every fragment is known, a slice takes a bounded number of bytes for each of its hits."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts, f = pa.array([" ".join(f"{chr(97 + (i * k) % 26)}{chr(97 + k % 23)}w{'xyzv'[k % 4]}r{chr(97 + i % 25)}" for k in range(250)) for i in range(512)]), toxicity.Fragments()
+    each = [np.unique(np.concatenate([h for _, h, _, _ in f(texts, True, (k,))])) for k in range(toxicity.KINDS)]
+    known = toxicity.Known(np.repeat(np.arange(toxicity.KINDS), [len(h) for h in each]), np.concatenate(each))
+    hits = sum(len(h) for k in range(toxicity.KINDS) for _, h, _, _ in f(texts, True, (k,)))
+    known(f, texts)
+    tracemalloc.start()
+    text, feature = known(f, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) == len(feature) and 0 <= feature.min() and feature.max() < known.size * toxicity.LEVELS
+    assert peak / hits < 56
+
+
 def test_nnpu_separates_without_negatives():
     import numpy as np
 
