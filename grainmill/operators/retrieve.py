@@ -6,21 +6,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, squeeze_ws, token_count, trim_ws
 
-#: Queries that go to the workers together (more are taken in blocks, one pass over the vectors each), and vectors scored at once.
-QUERY_BLOCK, TILE = 1_024, 4_096
+#: Vectors of a cell on average, cells at most, and queries and vectors that are scored at once.
+CELL, CELLS, QUERY_BLOCK, TILE = 4_096, 1_024, 1_024, 1_024
+#: Scores count to 12 digits. One that is less than another by more than this is less when both are rounded.
+SLACK = 2e-12
+
+
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of an Arrow column of lists at length one, and their lengths."""
+    x = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+    n = np.linalg.norm(x, axis=1)
+    x /= np.where(n == 0, 1, n)[:, None]
+    return x, n
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and scores of the k highest scores of each row, ties in order of columns. Changes s."""
+    if k > 8:
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return at, np.take_along_axis(s, at, 1)
+    found, rows = [], np.arange(len(s))
+    for _ in range(min(k, s.shape[1])):
+        at = s.argmax(1)
+        found.append((at, s[rows, at]))
+        s[rows, at] = -np.inf
+    return np.stack([a for a, _ in found], 1), np.stack([b for _, b in found], 1)
+
+
+class _Cells:
+    """Cells around some of the vectors (pivots): a vector lies in the cell of its nearest one, and a query visits the cells that
+    can hold one of its k nearest. Pivots alike share their vectors by a hash, so a vector of many copies fills no single cell.
+
+    The k-th nearest pivot bounds the distance u of the k-th nearest vector from above, and a cell is no nearer to a query than the
+    hyperplane halfway between the query's nearest pivot and the cell's; those farther than u are left out. Cell 0 has vectors of
+    length 0, which score 0 with all queries.
+    """
+
+    def __init__(self, pivots: np.ndarray, k: int, salts: int):
+        self.k, self.salts, self.all = k, salts, pivots
+        self.pivots, self.w = np.unique(pivots, axis=0, return_counts=True) if len(pivots) else (pivots, np.ones(1, np.int64))
+        self.start = 1 + np.cumsum(self.w) - self.w
+        self.n = (1 + self.w.sum().item()) * salts
+        self.apart = np.sqrt(np.maximum(0, 2 - 2 * self.pivots @ self.pivots.T))
+
+    def of_vectors(self, x: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, keys): a row for each salt."""
+        rows = np.flatnonzero(np.isfinite(n))
+        cell = np.ones(len(rows), np.int64)
+        if len(self.pivots):
+            at = (x[rows] @ self.pivots.T).argmax(1)
+            cell = self.start[at] + h[rows] % self.w[at]
+        cell[n[rows] == 0] = 0
+        return np.repeat(rows, self.salts), (cell[:, None] * self.salts + np.arange(self.salts)).ravel()
+
+    def of_queries(self, x: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, keys, least score of the k nearest): a row for each cell to visit."""
+        rows = np.flatnonzero(np.isfinite(n))
+        x, least = x[rows], np.full(len(rows), -np.inf)
+        visit = np.ones((len(rows), 1 + len(self.w)), bool)
+        if len(self.all) >= self.k:
+            least = np.partition(x @ self.all.T, -self.k, axis=1)[:, -self.k] - SLACK
+            d = np.maximum(0, 2 - 2 * x @ self.pivots.T)
+            near = d.argmin(1)
+            u = np.sqrt(np.maximum(0, 2 - 2 * least))
+            visit[:, 1:] = d - d[np.arange(len(d)), near][:, None] <= 2 * u[:, None] * self.apart[near] + 1e-9
+            visit[n[rows] == 0] = True
+            visit[:, 0] = least <= 0
+        q, c = np.nonzero(visit)
+        w, first = np.where(c > 0, self.w[c - 1], 1), np.where(c > 0, self.start[c - 1], 0)
+        part = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        q, cell = np.repeat(q, w), np.repeat(first, w) + part
+        return rows[q], cell * self.salts + h[rows[q]] % self.salts, least[q]
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, where: Column | None = None, query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, vector_id, score, rank): the k nearest vectors of each query by cosine, ties by vector id.
 
-    Ids are strings or whole numbers and keep their kind. `where` filters the vectors before ranking. Each partition of vectors
-    is multiplied with a block of queries, a tile at a time, and keeps k rows for each query, so what is shuffled is k rows for
-    each query and partition, and no pair is materialised.
+    Ids are strings or whole numbers and keep their kind. `where` filters the vectors before ranking. Vectors are dealt to cells
+    and each query is sent to the cells that can hold one of its k nearest (see _Cells), where it is multiplied with all their
+    vectors, a tile at a time. Exact: where vectors lie so that no cell can be left out, all pairs are scored. What is shuffled are
+    the vectors, and each query and k rows of results for each cell that it visits; the driver gets the pivots alone. A task holds
+    the vectors of one cell and a batch of queries.
     """
     if k < 1:
         raise ValueError("top_k must be positive")
@@ -31,48 +103,85 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, where: Column | No
 
     kept, asked = named(vectors.where(where) if where is not None else vectors, vector_id, "v"), named(queries, query_id, "q")
     q_kind, v_kind = dict(asked.dtypes)["q"], dict(kept.dtypes)["v"]
-    found, block = None, []
-
-    def best(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        by = np.lexsort((v, -s, q))
-        q, v, s = q[by], v[by], s[by]
-        top = np.arange(len(q)) - np.searchsorted(q, q) < k
-        return q[top], v[top], s[top]
-
-    def scanned(ids: list, x: np.ndarray) -> DataFrame:
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for batch in batches:
-                for at in range(0, batch.num_rows, TILE):
-                    part = batch.slice(at, TILE)
-                    y = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    n = np.linalg.norm(y, axis=1, keepdims=True)
-                    s = np.round(x @ (y / np.where(n == 0, 1, n)).T, 12)
-                    least = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else s.min(1, keepdims=True)
-                    q, c = np.nonzero(s >= least)
-                    own = (q, np.array(part.column(0).to_pylist())[c], s[q, c])
-                    held = best(*own) if held is None else best(*(np.concatenate(z) for z in zip(held, own)))
-            if held is not None:
-                q, v, s = held
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), pa.array(v.tolist()), pa.array(s)], names=["q", "v", "s"])
-
-        return kept.mapInArrow(nearest, f"q {q_kind}, v {v_kind}, s double")
-
-    def flush(found: DataFrame | None) -> DataFrame:
-        x = np.array([e for _, e in block], np.float64)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        part = scanned([i for i, _ in block], x / np.where(n == 0, 1, n))
-        block.clear()
-        return part if found is None else found.unionByName(part)
-
-    for row in asked.toLocalIterator():
-        block.append((row["q"], row["e"]))
-        if len(block) == QUERY_BLOCK:
-            found = flush(found)
-    if block:
-        found = flush(found)
-    if found is None:
-        found = kept.select(F.lit(None).cast(q_kind).alias("q"), "v", F.lit(0.0).alias("s")).limit(0)
+    e_kind = "array<float>" if {dict(df.dtypes)["e"] for df in (kept, asked)} == {"array<float>"} else "array<double>"
+    hashed = lambda df, col: df.select(col, F.col("e").cast(e_kind).alias("e"), F.pmod(F.xxhash64(F.lit(2), col), F.lit(1 << 30)).alias("h"))
+    n = kept.count()
+    m = min(CELLS, n // CELL)
+    pivots = np.zeros((0, 0))
+    if m > 1:
+        some = kept.where(F.pmod(F.xxhash64(F.lit(1), "v"), F.lit(n)) < m).select(F.col("e").cast("array<double>").alias("e")).toArrow().column(0).combine_chunks()
+        if len(some):
+            x, length = _units(some)
+            pivots = x[np.isfinite(length) & (length > 0)]
+    cells = _Cells(pivots, k, 1 + min(63, asked.count() // (16 * CELL * max(1, len(pivots)))))
+    names = ["key", "q", "v", "e", "least"]
+    schema = f"key long, q {q_kind}, v {v_kind}, e {e_kind}, least double"
+    kinds = {"string": pa.string(), "bigint": pa.int64()}
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                yield part, *_units(part.column(1)), part.column(2).to_numpy()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x, length, h in parts(batches):
+            rows, keys = cells.of_vectors(x, length, h)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(rows), kinds[q_kind]), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.nulls(len(rows), pa.float64())], names=names)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x, length, h in parts(batches):
+            rows, keys, least = cells.of_queries(x, length, h)
+            for at in range(0, len(rows), 16 * QUERY_BLOCK):
+                own = slice(at, at + 16 * QUERY_BLOCK)
+                r = pa.array(rows[own])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), part.column(0).take(r), pa.nulls(len(r), kinds[v_kind]), part.column(1).take(r), pa.array(least[own])], names=names)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key, the vectors of a key before its queries."""
+        now, ids, y = None, [], []
+        for batch in batches:
+            key, query = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if a == b:
+                    continue
+                if key[a] != now:
+                    now, ids, y = key[a], [], []
+                part = batch.slice(a, b - a)
+                if not query[a]:
+                    ids.append(part.column(2))
+                    y.append(_units(part.column(3))[0])
+                    continue
+                if not len(ids):
+                    continue
+                if isinstance(ids, list):
+                    ids = pa.concat_arrays(ids)
+                    by = pc.sort_indices(ids)
+                    ids, y = ids.take(by), np.concatenate(y)[by.to_numpy()]
+                    if now < cells.salts:  # all score 0
+                        ids, y = ids[:k], y[:k]
+                for at in range(0, part.num_rows, QUERY_BLOCK):
+                    yield from scored(part.slice(at, QUERY_BLOCK), ids, y)
+
+    def scored(part: pa.RecordBatch, ids: pa.Array, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, least = _units(part.column(3))[0], part.column(4).to_numpy()
+        c, s = [], []
+        for at in range(0, len(y), TILE):
+            own = x @ y[at : at + TILE].T
+            col, best = _best(np.round(own, 12, out=own), k)
+            c.append(col + at)
+            s.append(best)
+        c, s = np.concatenate(c, 1), np.concatenate(s, 1)
+        if len(y) > TILE:
+            by = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            c, s = np.take_along_axis(c, by, 1), np.take_along_axis(s, by, 1)
+        q, i = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(q)), ids.take(pa.array(c[q, i])), pa.array(s[q, i])], names=["q", "v", "s"])
+
+    rows = hashed(kept, "v").mapInArrow(dealt, schema).unionByName(hashed(asked, "q").mapInArrow(sent, schema))
+    found = rows.repartition(min(cells.n, 512), "key").sortWithinPartitions("key", F.col("q").isNotNull()).mapInArrow(nearest, f"q {q_kind}, v {v_kind}, s double")
     w = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("q").alias(query_id), F.col("v").alias(vector_id), F.col("s").alias("score"), "rank")

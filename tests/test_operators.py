@@ -198,3 +198,35 @@ def test_against_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert sorted(df.columns) == cols
     assert rounded([tuple(r) for r in df.collect()], df.columns) == rounded(want.fetchall(), want.columns)
+
+
+def test_top_k_over_cells_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "CELL", 40)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(700, 4)), rng.integers(-1, 2, size=(500, 4)), np.repeat(rng.normal(size=(1, 4)), 200, 0)])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    df = spark.createDataFrame([(f"v{i}", r.tolist()) for i, r in enumerate(x)], "vec_id string, embedding array<double>").repartition(3)
+    ids = np.array([f"v{i}" for i in range(len(x))])
+    for k in (1, 3, 12):
+        got = {}
+        for r in retrieve.top_k(df.withColumnRenamed("vec_id", "query_id"), df, k).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        s = np.round(unit @ unit.T, 12)
+        assert got == {q: [(s[i, j], ids[j]) for j in np.lexsort((ids, -s[i]))[:k]] for i, q in enumerate(ids)}
+
+
+def test_top_k_plans_alike_for_any_number_of_queries(spark):
+    plans = []
+    for n in (10, 6000):
+        df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+        plan = retrieve.top_k(df.withColumnRenamed("vec_id", "query_id"), df, 1)._jdf.queryExecution().executedPlan().toString()
+        plans.append((plan.count("MapInArrow"), plan.count("Exchange")))
+    assert plans[0] == plans[1]
+
+
+def test_string_ids_find_themselves_far_along(spark, tmp_path):
+    rows = [(i, "text", "en") for i in (0, 1, 2_136_283, 5_419_351)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r[0] for r in queries.QUERIES["string_ids"](spark, str(tmp_path)).collect()) == [i for i, _, _ in rows]
