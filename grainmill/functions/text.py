@@ -30,6 +30,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column, f) -> Column:
+    """f(c), with c computed once for each row however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def trim_ws(c) -> Column:
     """Without Unicode white space at both ends."""
     return F.btrim(_c(c), F.lit(WS_CHARS))
@@ -37,7 +42,8 @@ def trim_ws(c) -> Column:
 
 def squeeze_ws(c) -> Column:
     """Each run of Unicode white space as one space, none at the ends."""
-    return trim_ws(F.regexp_replace(_c(c), rf"{WS}+", " "))
+    others = WS_CHARS.replace(" ", "")
+    return F.btrim(F.regexp_replace(F.translate(_c(c), others, " " * len(others)), " {2,}", " "))
 
 
 def is_blank(c) -> Column:
@@ -66,26 +72,38 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(a for a, _ in one), "".join(b for _, b in one), tuple(many)
 
 
+#: Stands for the characters that fold to several, but for the sharp s, while a text is looked through for them.
+ODD = "\ue000"
+
+
 def casefold(c) -> Column:
     """Full Unicode case folding. Texts of ASCII, and those whose only character that folds to several is the sharp s, take
-    shorter ways."""
+    shorter ways; the others are gone through once for each such character. A regular expression of all of them, or as many
+    nested calls, take far longer."""
     x = _c(c)
     source, target, many = _folding()
-    usual = F.replace(F.translate(x, source, target), F.lit("ß"), F.lit("ss"))
-    full = usual
-    for a, b in many:
-        if a != "ß":
-            full = F.replace(full, F.lit(a), F.lit(b))
-    odd = x.rlike("[" + "".join(a for a, _ in many if a != "ß") + "]")
-    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(odd, full).otherwise(usual)
+    odd = [m for m in many if m[0] != "ß"]
+    usual = F.translate(x, source + "".join(a for a, _ in odd), target + ODD * len(odd))
+    pairs = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in many))
+    full = F.aggregate(pairs, F.translate(x, source, target), lambda y, m: F.replace(y, m[0], m[1]))
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(F.contains(usual, F.lit(ODD)), full).otherwise(F.replace(usual, F.lit("ß"), F.lit("ss")))
 
 
 fold = casefold
 
 
 def text_key(c) -> Column:
-    """The key by which texts count as the same: cleaned, case-folded, white space squeezed."""
-    return squeeze_ws(casefold(clean_text(c)))
+    """The key by which texts count as the same: cleaned, case-folded, white space squeezed.
+
+    Of cleaning, only the written-out \\n is left to do: all else changes white space to white space, which is squeezed here.
+    """
+    x = F.coalesce(_c(c).cast("string"), F.lit(""))
+    return squeeze_ws(casefold(F.replace(x, F.lit("\\n"), F.lit("\n"))))
+
+
+def key_digest(c) -> Column:
+    """sha-256 of the key, for grouping and joining where the key itself is not asked for: no texts are shuffled."""
+    return F.sha2(text_key(c), 256)
 
 
 def join_question(title, body) -> Column:

@@ -122,3 +122,16 @@ def test_vectors(spark):
 def test_preview(spark):
     x = "a" * 200 + "b" * 200
     assert column(spark, ["short", x], text.preview) == ["short", "a" * 160 + " ... " + "b" * 160]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_casefold_of_every_code_point_in_a_small_plan(spark):
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(points[i : i + 50]) for i in range(0, len(points), 50)] + [" Ǆ", "ß"]
+    assert column(spark, texts, text.casefold) == [x.casefold() for x in texts]
+    # One call for each character that folds to several, or a regular expression of them, takes most of the time of the queries.
+    made = plan(spark.createDataFrame([("a",)], "v string").where(F.length("v") > 0).select(text.casefold("v").alias("x")))
+    assert made.count("replace(") < 5 and "RLIKE" not in made
