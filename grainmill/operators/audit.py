@@ -8,7 +8,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_key
+from ..functions.text import key_digest
 
 
 def shared_keys(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:
@@ -37,8 +37,8 @@ def id_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def exact_overlap(corpus: DataFrame, held_out: DataFrame, text: str = "text") -> DataFrame:
     """Rows of the corpus whose text key is that of a held-out text."""
-    keys = held_out.select(text_key(text).alias("_key")).distinct()
-    return corpus.withColumn("_key", text_key(text)).join(keys, "_key", "left_semi").select(*corpus.columns)
+    keys = held_out.select(key_digest(text).alias("_key")).distinct()
+    return corpus.withColumn("_key", key_digest(text)).join(keys, "_key", "left_semi").select(*corpus.columns)
 
 
 def length_profile(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:

@@ -442,7 +442,7 @@ def prompt_overlap(spark, sf_dir):
 @query(f"with k as (select distinct {_key('text')} k, source from documents), s as (select distinct source from documents) select a.source a, b.source b, count(x.k) shared from s a join s b on a.source < b.source left join (select l.k, l.source ls, r.source rs from k l join k r on l.k = r.k and l.source < r.source) x on x.ls = a.source and x.rs = b.source group by 1, 2")
 def split_leakage(spark, sf_dir):
     """Texts shared by each pair of sources."""
-    return audit.pairwise_overlap(table(spark, sf_dir, "documents"), "source", text.text_key("text"))
+    return audit.pairwise_overlap(table(spark, sf_dir, "documents"), "source", text.key_digest("text"))
 
 
 @query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")

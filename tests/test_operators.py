@@ -230,3 +230,16 @@ def test_string_ids_find_themselves_far_along(spark, tmp_path):
     rows = [(i, "text", "en") for i in (0, 1, 2_136_283, 5_419_351)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r[0] for r in queries.QUERIES["string_ids"](spark, str(tmp_path)).collect()) == [i for i, _, _ in rows]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["split_leakage", "benchmark_overlap"])
+def test_keys_are_grouped_by_digest(spark, name):
+    """What is shuffled by a key holds no text."""
+    made = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+    lines = made.toString().splitlines()
+    below = [lines[i + 1] for i, x in enumerate(lines) if "hashpartitioning(" in x and "doc_id" not in x.split("hashpartitioning(")[1].split("]")[0]]
+    assert "sha2" in made.toString() and not any("text#" in x.split("sha2")[0] and "Project" in x and "sha2" not in x for x in below)
