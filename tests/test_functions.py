@@ -135,3 +135,11 @@ def test_casefold_of_every_code_point_in_a_small_plan(spark):
     # One call for each character that folds to several, or a regular expression of them, takes most of the time of the queries.
     made = plan(spark.createDataFrame([("a",)], "v string").where(F.length("v") > 0).select(text.casefold("v").alias("x")))
     assert made.count("replace(") < 5 and "RLIKE" not in made
+
+
+def test_text_key_squeezes_once(spark):
+    odd = ["a\\nb", " \\n\\r\\n A\x85  b\\n", "\x1f", "\\\\n", "\\r\\n", "a \t\x0b　 b", None, "  x  "]
+    clean = lambda x: text.squeeze_ws(text.casefold(text.clean_text(x)))
+    assert column(spark, odd, text.text_key) == column(spark, odd, clean)
+    made = plan(spark.createDataFrame([("a",)], "v string").select(text.text_key("v").alias("x")))
+    assert made.count("regexp_replace") == 1
