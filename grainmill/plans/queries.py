@@ -298,7 +298,7 @@ def dedup_conversation(spark, sf_dir):
 @query(f"select doc_id from documents qualify row_number() over (partition by {_key('text')} order by doc_id) <= 2")
 def response_cap(spark, sf_dir):
     """At most two documents for each text."""
-    return select.cap_per_key(table(spark, sf_dir, "documents"), [text.text_key("text")], 2, [F.col("doc_id")]).select("doc_id")
+    return select.cap_per_key(table(spark, sf_dir, "documents").select("doc_id", "text"), [text.key_digest("text")], 2, [F.col("doc_id")]).select("doc_id")
 
 
 @query("select doc_id, lang from documents qualify row_number() over (partition by lang order by doc_id) <= 8")
