@@ -102,7 +102,8 @@ def question_rules(df: DataFrame, answerable: bool = True) -> DataFrame:
 
 def over_length(df: DataFrame, tokens: Column, limit: int) -> DataFrame:
     """One row: rows, the longest length and how many are over the limit."""
-    return df.agg(F.count("*").alias("n"), F.max(tokens).alias("longest"), F.count_if(tokens > limit).alias("over"))
+    counted = df.select(tokens.alias("tokens"))  # else the engine counts the tokens for each measure
+    return counted.agg(F.count("*").alias("n"), F.max("tokens").alias("longest"), F.count_if(F.col("tokens") > limit).alias("over"))
 
 
 def unique_keys(df: DataFrame, key: Column, name: str) -> None:

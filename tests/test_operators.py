@@ -243,3 +243,8 @@ def test_keys_are_grouped_by_digest(spark, name):
     lines = made.toString().splitlines()
     below = [lines[i + 1] for i, x in enumerate(lines) if "hashpartitioning(" in x and "doc_id" not in x.split("hashpartitioning(")[1].split("]")[0]]
     assert "sha2" in made.toString() and not any("text#" in x.split("sha2")[0] and "Project" in x and "sha2" not in x for x in below)
+
+
+def test_over_length_counts_once(spark):
+    made = plan(queries.QUERIES["over_length"](spark, SF))
+    assert made.count("regexp_count") + made.count("regexp_extract_all") == 1
