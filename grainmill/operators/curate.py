@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import _c, fold, is_blank, squeeze_ws, text_key, trim_ws, word_count
+from ..functions.text import _c, fold, is_blank, key_digest, once, squeeze_ws, trim_ws, word_count
 from .audit import first_match
 from .select import cap_per_key, first_per_key
 
@@ -39,23 +39,25 @@ TOPICS = {
 }
 
 
-def any_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
-    return functools.reduce(lambda a, b: a | b, (fold(c).contains(p) for p in phrases), F.lit(False))
+def any_phrase(folded: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a folded text holds one of the phrases."""
+    return functools.reduce(lambda a, b: a | b, (folded.contains(p) for p in phrases), F.lit(False))
 
 
-def removal_rules(response, labels: tuple[str, ...] = (), aliases: tuple[str, ...] = (), min_words: int = 3, noise_share: float = 0.2) -> list[tuple[str, Column]]:
-    """(reason, condition) in order, for a response."""
+def removal_rules(response, labels: tuple[str, ...] = (), aliases: tuple[str, ...] = (), min_words: int = 3, noise_share: float = 0.2, folded: Column | None = None) -> list[tuple[str, Column]]:
+    """(reason, condition) in order, for a response; folded: its folded form where that is at hand."""
     x = F.coalesce(_c(response), F.lit(""))
+    folded = fold(x) if folded is None else folded
     odd = F.length(F.regexp_replace(x, r"[\p{L}\p{N}\p{P}\s]", ""))
     return [
         ("empty", is_blank(x)),
         ("bare_label", trim_ws(x).isin(*labels) | trim_ws(x).rlike(r"\A[a-z]+(?:_[a-z]+)+\z")),
         ("too_short", word_count(x) < min_words),
-        ("refusal", any_phrase(x, REFUSALS)),
+        ("refusal", any_phrase(folded, REFUSALS)),
         ("persona", functools.reduce(lambda a, b: a | b, (x.contains(a) for a in aliases), F.lit(False))),
-        ("security_bypass", any_phrase(x, BYPASS)),
-        ("artifact", any_phrase(x, ARTIFACTS)),
-        ("generic", squeeze_ws(fold(x)).isin(*GENERIC)),
+        ("security_bypass", any_phrase(folded, BYPASS)),
+        ("artifact", any_phrase(folded, ARTIFACTS)),
+        ("generic", squeeze_ws(folded).isin(*GENERIC)),
         ("noise", odd > noise_share * F.length(x)),
     ]
 
@@ -70,7 +72,7 @@ def rewrite(df: DataFrame, text: str, rules: list[tuple[str, str, str]]) -> Data
 
 
 def topic(c, topics: dict[str, tuple[str, ...]] = TOPICS, otherwise: str = "other") -> Column:
-    return first_match([(name, any_phrase(_c(c), words)) for name, words in topics.items()], otherwise)
+    return first_match([(name, any_phrase(fold(_c(c)), words)) for name, words in topics.items()], otherwise)
 
 
 def score_filter(df: DataFrame, min_question: int, min_answer: int, question: str, answer: str) -> DataFrame:
@@ -81,8 +83,8 @@ def score_filter(df: DataFrame, min_question: int, min_answer: int, question: st
 def curate(df: DataFrame, id_col: str, prompt: str, response: str, response_cap: int = 5, identity: Column | None = None, identity_cap: int = 8, **rules) -> DataFrame:
     """Records that pass the removal rules, one for each prompt and response, one for each prompt, at most response_cap for each
     response and identity_cap with identity in all; the first by id stay."""
-    reason = first_match(removal_rules(response, **rules))
-    keyed = df.where(reason.isNull()).withColumns({"_p": text_key(prompt), "_r": text_key(response)})
+    reason = once(fold(F.coalesce(F.col(response), F.lit(""))), lambda x: first_match(removal_rules(response, folded=x, **rules)))
+    keyed = df.where(reason.isNull()).withColumns({"_p": key_digest(prompt), "_r": key_digest(response)})
     # One aggregation for both: the first row of a prompt is the first of its prompt and response as well.
     kept = first_per_key(keyed, [F.col("_p")], id_col)
     kept = cap_per_key(kept, [F.col("_r")], response_cap, [F.col(id_col)]).drop("_p", "_r")

@@ -248,3 +248,10 @@ def test_keys_are_grouped_by_digest(spark, name):
 def test_over_length_counts_once(spark):
     made = plan(queries.QUERIES["over_length"](spark, SF))
     assert made.count("regexp_count") + made.count("regexp_extract_all") == 1
+
+
+def test_rules_fold_once(spark):
+    pairs = spark.createDataFrame([(1, "q", "Outside MY Area, sorry"), (2, "q", "a good long answer"), (3, "r", "It depends. "), (4, "s", None)], "id long, a string, b string")
+    kept = curate.curate(pairs, "id", "a", "b")
+    assert [r["id"] for r in kept.collect()] == [2]
+    assert plan(kept).count("lower(") <= 6  # in each of the two reads, of the rules and the keys
