@@ -179,18 +179,16 @@ def audit_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 def post_audit(df: DataFrame, id_col: str, prompt: str, response: str, held_out: DataFrame | None = None) -> DataFrame:
     """(check, n) over what a curation kept, all 0 if it passed: blank prompts or responses, repeated ids, repeated prompts, and
     prompts of the held-out rows."""
-    from ..functions.text import text_key
-
-    checks = [
-        df.agg(F.count_if(is_blank(prompt)).alias("n")).select(F.lit("blank_prompt").alias("check"), "n"),
-        df.agg(F.count_if(is_blank(response)).alias("n")).select(F.lit("blank_response").alias("check"), "n"),
-        df.groupBy(id_col).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n")).select(F.lit("repeated_id").alias("check"), "n"),
-        df.groupBy(text_key(prompt).alias("k")).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n")).select(F.lit("repeated_prompt").alias("check"), "n"),
-    ]
+    from ..functions.text import key_digest
+
+    # One row for each key, so that each text is read for its key once.
+    rows = df.select(key_digest(prompt).alias("k"), F.lit(1).alias("own"), is_blank(prompt).cast("int").alias("p"), is_blank(response).cast("int").alias("r"))
     if held_out is not None:
-        keys = df.select(text_key(prompt).alias("k")).distinct().join(held_out.select(text_key(prompt).alias("k")).distinct(), "k", "left_semi")
-        checks.append(keys.agg(F.count("*").alias("n")).select(F.lit("held_out_prompt").alias("check"), "n"))
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+        rows = rows.unionByName(held_out.select(key_digest(prompt).alias("k"), F.lit(0).alias("own"), F.lit(0).alias("p"), F.lit(0).alias("r")))
+    keys = rows.groupBy("k").agg(F.sum("own").alias("c"), F.sum("p").alias("p"), F.sum("r").alias("r"), F.min("own").alias("held"))
+    found = {"blank_prompt": F.sum("p"), "blank_response": F.sum("r"), "repeated_prompt": F.count_if(F.col("c") > 1)}
+    if held_out is not None:
+        found["held_out_prompt"] = F.count_if((F.col("c") > 0) & (F.col("held") == 0))
+    counts = keys.agg(F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(n, F.lit(0)).cast("long").alias("n")) for name, n in found.items())).alias("x"))
+    ids = df.groupBy(id_col).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n"))
+    return counts.select(F.inline("x")).unionByName(ids.select(F.lit("repeated_id").alias("check"), "n"))

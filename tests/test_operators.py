@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import text
 from grainmill.operators import audit, curate, metrics, retrieve, select, validate
 from grainmill.plans import evaluate, models, queries
-from grainmill.sources import files
+from grainmill.sources import files, loaders
 from grainmill.sources.index import VectorTable
 from grainmill.sources.stages import StageStore
 from grainmill.streaming.index_stream import corpus_stream, index_stream
@@ -255,3 +255,12 @@ def test_rules_fold_once(spark):
     kept = curate.curate(pairs, "id", "a", "b")
     assert [r["id"] for r in kept.collect()] == [2]
     assert plan(kept).count("lower(") <= 6  # in each of the two reads, of the rules and the keys
+
+
+def test_post_audit_reads_each_text_once(spark):
+    d = spark.createDataFrame([(1, "a", "r"), (2, "A ", " "), (2, " ", None), (4, "b", "r")], "id long, p string, r string")
+    h = spark.createDataFrame([(9, "B", "r"), (9, "c", "r"), (9, "c", "r")], "id long, p string, r string")
+    got = {r["check"]: r["n"] for r in loaders.post_audit(d, "id", "p", "r", h).collect()}
+    assert got == {"blank_prompt": 1, "blank_response": 2, "repeated_id": 1, "repeated_prompt": 1, "held_out_prompt": 1}
+    assert {r["n"] for r in loaders.post_audit(d.limit(0), "id", "p", "r", h).collect()} == {0}
+    assert plan(loaders.post_audit(d, "id", "p", "r", h)).count("lower(") == 2
