@@ -143,3 +143,10 @@ def test_text_key_squeezes_once(spark):
     assert column(spark, odd, text.text_key) == column(spark, odd, clean)
     made = plan(spark.createDataFrame([("a",)], "v string").select(text.text_key("v").alias("x")))
     assert made.count("regexp_replace") == 1
+
+
+def test_token_count_of_folded_text(spark):
+    odd = ["", None, "The cat, sat!", "İstanbul ŉ ﬃ", "a_b 1\x85_", "ͅ", "\U00010400x"]
+    assert column(spark, odd, text.token_count) == [0, 0, 5, 5, 3, 1, 1]
+    made = plan(spark.createDataFrame([("a",)], "v string").select(text.token_count("v").alias("x")))
+    assert made.count("replace(") < 5 and "RLIKE" not in made
