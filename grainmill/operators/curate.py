@@ -72,7 +72,8 @@ def rewrite(df: DataFrame, text: str, rules: list[tuple[str, str, str]]) -> Data
 
 
 def topic(c, topics: dict[str, tuple[str, ...]] = TOPICS, otherwise: str = "other") -> Column:
-    return first_match([(name, any_phrase(fold(_c(c)), words)) for name, words in topics.items()], otherwise)
+    """The first topic of which the text holds a keyword. The text is folded once for all of them."""
+    return once(fold(_c(c)), lambda x: first_match([(name, any_phrase(x, words)) for name, words in topics.items()], otherwise))
 
 
 def score_filter(df: DataFrame, min_question: int, min_answer: int, question: str, answer: str) -> DataFrame:

@@ -250,7 +250,10 @@ def test_over_length_counts_once(spark):
     assert made.count("regexp_count") + made.count("regexp_extract_all") == 1
 
 
-def test_rules_fold_once(spark):
+def test_topic_and_rules_fold_once(spark):
+    df = spark.createDataFrame([("VPN İ",), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(curate.topic("t")).collect()] == ["network", "other", "other"]
+    assert plan(df.select(curate.topic("t").alias("x"))).count("lower(") == 1
     pairs = spark.createDataFrame([(1, "q", "Outside MY Area, sorry"), (2, "q", "a good long answer"), (3, "r", "It depends. "), (4, "s", None)], "id long, a string, b string")
     kept = curate.curate(pairs, "id", "a", "b")
     assert [r["id"] for r in kept.collect()] == [2]
