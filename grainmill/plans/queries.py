@@ -436,7 +436,7 @@ def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def prompt_overlap(spark, sf_dir):
     """Texts that both sides of a seeded split hold."""
     train, held = _halves(spark, sf_dir)
-    return audit.shared_keys(train, held, text.text_key("text")).select(F.sha2("key", 256).alias("key"))
+    return audit.shared_keys(train, held, text.key_digest("text"))
 
 
 @query(f"with k as (select distinct {_key('text')} k, source from documents), s as (select distinct source from documents) select a.source a, b.source b, count(x.k) shared from s a join s b on a.source < b.source left join (select l.k, l.source ls, r.source rs from k l join k r on l.k = r.k and l.source < r.source) x on x.ls = a.source and x.rs = b.source group by 1, 2")

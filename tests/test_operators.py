@@ -236,7 +236,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["split_leakage", "response_cap", "dedup_prompt", "benchmark_overlap"])
+@pytest.mark.parametrize("name", ["split_leakage", "response_cap", "dedup_prompt", "prompt_overlap", "benchmark_overlap"])
 def test_keys_are_grouped_by_digest(spark, name):
     """What is shuffled by a key holds no text."""
     made = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
