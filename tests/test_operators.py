@@ -267,3 +267,8 @@ def test_post_audit_reads_each_text_once(spark):
     assert got == {"blank_prompt": 1, "blank_response": 2, "repeated_id": 1, "repeated_prompt": 1, "held_out_prompt": 1}
     assert {r["n"] for r in loaders.post_audit(d.limit(0), "id", "p", "r", h).collect()} == {0}
     assert plan(loaders.post_audit(d, "id", "p", "r", h)).count("lower(") == 2
+
+
+def test_length_profile_plans_no_search_for_odd_characters(spark):
+    made = plan(queries.QUERIES["length_profile"](spark, SF))
+    assert "RLIKE" not in made and made.count("regexp_extract_all") == 1
