@@ -272,3 +272,14 @@ def test_post_audit_reads_each_text_once(spark):
 def test_length_profile_plans_no_search_for_odd_characters(spark):
     made = plan(queries.QUERIES["length_profile"](spark, SF))
     assert "RLIKE" not in made and made.count("regexp_extract_all") == 1
+
+
+def test_scores_held_at_once_are_few():
+    """A worker has several blocks of this size at a time."""
+    import numpy as np
+
+    assert retrieve.QUERY_BLOCK * retrieve.TILE * 8 <= 8 << 20
+    s = np.array([[1.0, 3.0, 3.0, 2.0, 3.0]])
+    for k in (1, 2, 3, 5, 9):
+        at, best = retrieve._best(s.copy(), k)
+        assert at.tolist() == [[1, 2, 4, 3, 0][:k]] and best.tolist() == [[3.0, 3.0, 3.0, 2.0, 1.0][:k]]
