@@ -283,3 +283,15 @@ def test_scores_held_at_once_are_few():
     for k in (1, 2, 3, 5, 9):
         at, best = retrieve._best(s.copy(), k)
         assert at.tolist() == [[1, 2, 4, 3, 0][:k]] and best.tolist() == [[3.0, 3.0, 3.0, 2.0, 1.0][:k]]
+
+
+def test_copies_of_a_vector_fill_no_single_cell():
+    """What a worker holds is the vectors of a cell."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat([[0.6, 0.8, 0.0]], 20_000, 0), rng.normal(size=(20_000, 3))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cells = retrieve._Cells(x[rng.permutation(len(x))[:100]], 3, 1)
+    rows, keys = cells.of_vectors(x, np.ones(len(x)), rng.integers(0, 1 << 30, len(x)))
+    assert len(rows) == len(x) and np.bincount(keys).max() < 8 * len(x) / 100
